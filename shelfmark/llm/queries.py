@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import components, mixing, tokens
+from shelfmark.llm import cells, components, mixing, neighbours, tokens
 from shelfmark.runtime import table
 
 
@@ -14,6 +14,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(components.counted_links(table(spark, sf_dir, "duplicates")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.match_new_files(table(spark, sf_dir, "files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_hashes(table(spark, sf_dir, "files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
@@ -48,6 +58,35 @@ reach(file_id, root) as (
 grouped as (select file_id, min(root) as group_id from reach group by file_id)
 """
 
+_HASHED = """
+hashed as (
+  select file_id, coalesce(status, '') as status,
+    case when regexp_full_match(lower(trim(sha256)), '[0-9a-f]{64}') then lower(trim(sha256)) end as s,
+    case when regexp_full_match(lower(trim(phash)), '[0-9a-f]{16}') then lower(trim(phash)) end as p
+  from files
+)
+"""
+
 SQL: dict[str, str] = {
     "p1_found": f"with recursive {_LINKS} select file_id, group_id from grouped",
+    "p3_found": f"""with {_HASHED},
+rare as (
+  select file_id, status,
+    case when count(*) over (partition by s) < 8 then s end as s,
+    case when count(*) over (partition by p) < 8 then ('0x' || p)::ubigint end as p
+  from hashed
+),
+old as (select * from rare where status = 'done'),
+new as (select * from rare where status not in ('done', 'error'))
+select least(o.file_id, n.file_id) as file_id_a, greatest(o.file_id, n.file_id) as file_id_b
+from old o join new n on bit_count(xor(o.p, n.p)) <= 6
+union
+select least(o.file_id, n.file_id), greatest(o.file_id, n.file_id) from old o join new n on o.s = n.s""",
+    "p5_found": f"""with {_HASHED},
+keys as (select distinct p, ('0x' || p)::ubigint as k from hashed where p is not null),
+near as (
+  select a.p as x, b.p as y, row_number() over (partition by a.p order by bit_count(xor(a.k, b.k)), b.p) as r
+  from keys a join keys b on a.k <> b.k and bit_count(xor(a.k, b.k)) <= 6
+)
+select distinct least(x, y) as phash_a, greatest(x, y) as phash_b from near where r <= 3""",
 }
