@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import cells, components, mixing, neighbours, tokens
+from shelfmark.llm import cells, components, fusion, mixing, neighbours, tokens
 from shelfmark.runtime import table
 
 
@@ -14,6 +14,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(components.counted_links(table(spark, sf_dir, "duplicates")))
 
 
+def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.golden_records(*(table(spark, sf_dir, t) for t in ("files", "duplicates", "known_cameras", "scan_roots")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_golden(spark, sf_dir).select("group_id", "keep_file_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.match_new_files(table(spark, sf_dir, "files"))
 
@@ -37,6 +45,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_golden": p2_golden,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
@@ -69,6 +79,28 @@ hashed as (
 
 SQL: dict[str, str] = {
     "p1_found": f"with recursive {_LINKS} select file_id, group_id from grouped",
+    "p2_found": f"""with recursive {_LINKS},
+facts as (
+  select g.group_id, g.file_id,
+    case when f.width > 0 and f.height > 0 then f.width::bigint * f.height else 0 end as area,
+    coalesce(f.size_bytes, 0) as size,
+    case when lower(trim(f.camera_model)) in (select lower(trim(model)) from known_cameras where owner = 'self') then 1 else 0 end as own,
+    length(f.path) as len
+  from grouped g left join files f using (file_id)
+),
+ranked as (
+  select group_id, file_id, row_number() over (partition by group_id order by area desc, size desc, own desc, len, file_id) as r from facts
+),
+decided as (
+  select g.group_id, d.keep_file_id,
+    row_number() over (partition by g.group_id order by coalesce(d.resolved_at, '') desc, d.keep_file_id) as r
+  from duplicates d join grouped g on g.file_id = d.file_id_a
+  join grouped k on k.file_id = d.keep_file_id and k.group_id = g.group_id
+  where d.status in ('reviewed', 'resolved') and d.file_id_a <> d.file_id_b
+    and (d.dup_type = 'EXACT' or coalesce(d.hamming_distance, 0) <= 2)
+)
+select r.group_id, coalesce(d.keep_file_id, r.file_id) as keep_file_id
+from ranked r left join decided d on d.group_id = r.group_id and d.r = 1 where r.r = 1""",
     "p3_found": f"""with {_HASHED},
 rare as (
   select file_id, status,
