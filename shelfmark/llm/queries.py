@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import cells, components, fusion, mixing, neighbours, tokens
+from shelfmark.llm import cells, components, fusion, garble, mixing, neighbours, tokens
 from shelfmark.runtime import table
 
 
@@ -43,6 +43,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(documents, targets), documents, targets)
 
 
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.restore_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _LINKS = """
