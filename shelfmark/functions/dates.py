@@ -99,7 +99,7 @@ def candidates_text(exif: Column, name: Column, digitized: Column, modified: Col
 
 
 def override_date(text: Column) -> Column:
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, F.lit("y-M-d"))).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "y-M-d")).cast("timestamp_ntz")
 
 
 def folder_date_range(name: Column) -> Column:

@@ -50,7 +50,8 @@ def focal_length(tags: Column) -> Column:
 
 def rating(tags: Column) -> Column:
     """Whole stars, cut toward zero and held within 0 to 5."""
-    return F.least(F.lit(5), F.greatest(F.lit(0), tags["Rating"].try_cast("double").cast("int")))
+    stars = tags["Rating"].try_cast("double").try_cast("int")
+    return F.when(stars.isNotNull(), F.least(F.lit(5), F.greatest(F.lit(0), stars)))
 
 
 def keywords(tags: Column) -> Column:

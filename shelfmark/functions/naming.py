@@ -103,7 +103,7 @@ def derivative_root(path: Column) -> Column:
     hits = F.transform(folders, lambda x: F.arrays_overlap(F.split(x, "[^a-z0-9]+"), tokens))
     at = F.array_position(hits, F.lit(True)).cast("int")
     sep = F.when(path.contains("\\"), F.lit("\\")).otherwise(F.lit("/"))
-    return F.when(at > 0, F.array_join(F.slice(names, 1, at - 1), sep))
+    return F.when(at > 0, F.call_function("array_join", F.slice(names, 1, at - 1), sep))
 
 
 def event_label(target: Column) -> Column:

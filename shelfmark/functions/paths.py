@@ -40,7 +40,7 @@ def ancestors(path: Column) -> Column:
     """All folders above a path below its drive or root, shortest first."""
     p = parts(path)
     sep = separator(path)
-    return F.when(F.size(p) > 2, F.transform(F.sequence(F.lit(2), F.size(p) - 1), lambda i: F.array_join(F.slice(p, 1, i), sep))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(p) > 2, F.transform(F.sequence(F.lit(2), F.size(p) - 1), lambda i: F.call_function("array_join", F.slice(p, 1, i), sep))).otherwise(F.array().cast("array<string>"))
 
 
 def within(path: Column, folder: Column) -> Column:

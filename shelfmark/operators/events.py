@@ -47,7 +47,7 @@ def _self_and_up(folder: Column) -> Column:
     """The folder and all above it below the drive, shortest first."""
     sep = F.when(folder.contains("\\"), F.lit("\\")).otherwise(F.lit("/"))
     p = F.split(folder, r"[\\/]")
-    return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(2), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), sep))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(2), F.size(p)), lambda i: F.call_function("array_join", F.slice(p, 1, i), sep))).otherwise(F.array().cast("array<string>"))
 
 
 def confident_days(files: DataFrame) -> DataFrame:

@@ -178,4 +178,4 @@ def common_root(files: DataFrame, path: str = "path") -> DataFrame:
     same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k <= n) & (F.slice(pa, 1, k) == F.slice(pb, 1, k)))
     depth = F.coalesce(F.array_max(same), F.lit(0))
     sep = F.when(F.col("a").contains("\\"), F.lit("\\")).otherwise(F.lit("/"))
-    return r.select(F.when(depth > 0, F.array_join(F.slice(pa, 1, depth), sep)).otherwise("").alias("root"))
+    return r.select(F.when(depth > 0, F.call_function("array_join", F.slice(pa, 1, depth), sep)).otherwise("").alias("root"))

@@ -56,7 +56,7 @@ def roll_up(twins: DataFrame) -> DataFrame:
     parents are the same or one is a root."""
     pa, pb = parts(F.col("folder_a")), parts(F.col("folder_b"))
     sa, sb = separator(F.col("folder_a")), separator(F.col("folder_b"))
-    up = F.transform(F.sequence(F.lit(1), F.least(F.size(pa), F.size(pb)) - 2), lambda k: F.struct(F.array_join(F.slice(pa, 1, F.size(pa) - k), sa).alias("x"), F.array_join(F.slice(pb, 1, F.size(pb) - k), sb).alias("y"), k.alias("k")))
+    up = F.transform(F.sequence(F.lit(1), F.least(F.size(pa), F.size(pb)) - 2), lambda k: F.struct(F.call_function("array_join", F.slice(pa, 1, F.size(pa) - k), sa).alias("x"), F.call_function("array_join", F.slice(pb, 1, F.size(pb) - k), sb).alias("y"), k.alias("k")))
     steps = twins.where(F.least(F.size(pa), F.size(pb)) > 2).select("folder_a", "folder_b", F.explode(up).alias("u"))
     same = steps.where(F.col("u.x") == F.col("u.y")).groupBy("folder_a", "folder_b").agg(F.min("u.k").alias("stop"))
     live = steps.join(same, ["folder_a", "folder_b"], "left").where(F.col("stop").isNull() | (F.col("u.k") < F.col("stop")))

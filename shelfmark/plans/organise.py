@@ -29,7 +29,8 @@ def date_ladder(files: DataFrame, today: Column, zone: str = "UTC") -> DataFrame
     """``files`` with dt (wall clock), date_source and date_confidence chosen anew, and ``candidates``."""
     exif, name = dates.metadata_datetime(F.col("datetime_original")), dates.filename_datetime(F.col("filename"))
     digitized, modified = dates.metadata_datetime(F.col("datetime_digitized")), dates.modified_datetime(F.col("mtime"), zone)
-    parsed = files.withColumns({"_exif": exif, "_name": name, "_digit": digitized, "_mod": modified})
+    # the parsed signals are referred to many times: a generator between keeps them from being computed for each use
+    parsed = files.select("*", F.inline(F.array(F.struct(exif.alias("_exif"), name.alias("_name"), digitized.alias("_digit"), modified.alias("_mod")))))
     choice = dates.resolve_date(F.col("_exif"), F.col("_name"), F.col("_digit"), F.col("_mod"), F.col("camera_model"), F.col("file_type"), today)
     rated = parsed.withColumn("_c", choice).withColumns({"dt": F.col("_c.dt"), "date_source": F.col("_c.source"), "date_confidence": F.col("_c.confidence"), "candidates": dates.candidates_text(F.col("_exif"), F.col("_name"), F.col("_digit"), F.col("_mod"))})
     return rated.drop("_exif", "_name", "_digit", "_mod", "_c")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.queries import general
+from shelfmark.queries import general, pipeline, reports
 
-MODULES = (general,)
+MODULES = (general, reports, pipeline)
 
 
 def queries() -> dict:
