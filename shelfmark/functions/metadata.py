@@ -85,6 +85,6 @@ def frame_rate(tags: Column) -> Column:
 
 def duration_text(seconds: Column) -> Column:
     """Seconds as "1h 02m 03s", "2m 03s" or "3s"."""
-    s = F.greatest(F.lit(0), F.round(seconds).cast("long"))
+    s = F.when(seconds.isNotNull(), F.greatest(F.lit(0), F.round(seconds).cast("long")))
     h, m, r = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), (s % 60).cast("long")
     return F.when(s >= 3600, F.format_string("%dh %02dm %02ds", h, m, r)).when(s >= 60, F.format_string("%dm %02ds", m, r)).when(s.isNotNull(), F.format_string("%ds", r))

@@ -8,6 +8,7 @@ column expression, so it runs inside the JVM.
 from __future__ import annotations
 
 from functools import reduce
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,11 +105,24 @@ def root_zone(path: Column, roots: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(path.startswith(p), F.lit(z)) for p, z in ordered], F.lit(None).cast("string"))
 
 
-def with_root_zone(files: DataFrame, roots: DataFrame, path: str = "path", prefix: str = "path_prefix", zone: str = "time_zone", out: str = "_zone") -> DataFrame:
+def _is_zone(name: str) -> bool:
+    try:
+        ZoneInfo(name)
+        return True
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return False
+
+
+def with_root_zone(files: DataFrame, roots: DataFrame, path: str = "path", prefix: str = "path_prefix", zone: str = "time_zone", out: str = "_zone", check: bool = False) -> DataFrame:
     """Add the zone of the longest fitting root. Up to 1,000 roots become one
     expression; more are matched by an equi-join on the prefix texts. Null
-    prefixes and zones are ignored; a path without a root gets null."""
-    rows = roots.where(F.col(prefix).isNotNull() & F.col(zone).isNotNull()).groupBy(F.col(prefix).alias("p")).agg(F.min(zone).alias("z"))
+    prefixes and zones are ignored, and with ``check`` names that are no IANA
+    zone; a path without a root gets null."""
+    named = roots.where(F.col(prefix).isNotNull() & F.col(zone).isNotNull())
+    if check:
+        zones = [r.z for r in named.select(F.col(zone).alias("z")).distinct().limit(BROADCAST_ROWS).collect()]
+        named = named.where(F.col(zone).isin([z for z in zones if _is_zone(z)]))
+    rows = named.groupBy(F.col(prefix).alias("p")).agg(F.min(zone).alias("z"))
     few = [(r.p, r.z) for r in rows.limit(1001).collect()]
     if len(few) <= 1000:
         return files.withColumn(out, root_zone(F.col(path), few))
@@ -124,7 +138,7 @@ def normalise_timestamps(files: DataFrame, roots: DataFrame, columns: list[str],
     Other columns are ignored, whatever their names. Repeated rows stay
     repeated; rows without any readable value give nothing.
     """
-    zoned = with_root_zone(files.select(F.col(key).alias("_key"), F.col(path).alias("_path"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]), roots, "_path")
+    zoned = with_root_zone(files.select(F.col(key).alias("_key"), F.col(path).alias("_path"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]), roots, "_path", check=True)
     values = F.array(*[F.struct(F.lit(c).alias("n"), F.col(f"_v{i}").alias("v")) for i, c in enumerate(columns)])
     long = zoned.select("_key", "_zone", F.explode(values).alias("_f")).where(F.col("_f.v").isNotNull())
     text = _clean(F.col("_f.v"))

@@ -15,8 +15,6 @@ from shelfmark.runtime import BROADCAST_ROWS, drop_scratch, write_scratch
 
 #: Bits opened in each refinement; 2**BITS bins a key at most are merged at once.
 BITS = 8
-#: Refinements for values below 2**(BITS * LEVELS) after shifting to zero.
-LEVELS = 8
 
 
 def long_form(df: DataFrame, keys: dict[str, Column], value: Column, stamp: Column) -> DataFrame:
@@ -48,7 +46,8 @@ def exact_quantiles(rows: DataFrame, totals: DataFrame, quantiles: dict[str, flo
 
     The quantile q of n values is the value of rank ceil(q * n), at least 1
     (rank 1 is the smallest). Null values do not count; a key without values
-    gets nulls. ``totals`` may hold any number of keys: its per-key state is
+    gets nulls. The values of one key must lie within 2**63 of each other.
+    ``totals`` may hold any number of keys: its per-key state is
     broadcast only up to ``BROADCAST_ROWS`` rows, and joined by shuffle above
     that, on a key that is salted by value so that a hot key stays spread.
     """
@@ -68,7 +67,9 @@ def exact_quantiles(rows: DataFrame, totals: DataFrame, quantiles: dict[str, flo
     for level in range(levels):
         shift = BITS * (levels - 1 - level)
         side = F.broadcast(state) if small else state
-        inside = counted.join(side, on).where(F.shiftright(F.col("value") - F.col("base"), shift + BITS) == F.col("prefix"))
+        inside = counted.join(side, on)
+        if level:
+            inside = inside.where(F.shiftright(F.col("value") - F.col("base"), shift + BITS) == F.col("prefix"))
         bins = inside.groupBy(*on, "name", F.shiftright(F.col("value") - F.col("base"), shift).alias("bin")).agg(F.sum("n").alias("n"), F.first("rank").alias("rank"), F.first("base").alias("base"), F.first("span").alias("span"))
         run = Window.partitionBy(*on, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # 2**BITS rows a key at most
         hit = bins.withColumn("upto", F.sum("n").over(run)).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))

@@ -11,6 +11,7 @@ from shelfmark.functions.hashes import hex_to_long, valid_hex
 from shelfmark.functions.paths import parent
 from shelfmark.operators import events, pairs, survivor
 from shelfmark.plans import organise
+from shelfmark.runtime import write_scratch
 
 
 def new_files(files: DataFrame, operations: DataFrame) -> DataFrame:
@@ -52,20 +53,20 @@ def plan_additions(files: DataFrame, operations: DataFrame, overrides: DataFrame
     rest is filed by the spans of the new files alone, so nothing that is filed
     already changes its place. The same inputs give the same rows.
     """
-    ranked = survivor.with_rank(files, cameras)
+    ranked, _ = write_scratch(survivor.with_rank(files, cameras), "ranked")
     new, library = new_files(files, operations), files.where("status = 'done'")
     exact = exact_matches(new, library)
     own_dupes = within_batch(new, ranked).join(exact.select("file_id"), "file_id", "left_anti")
-    losers = exact.unionByName(own_dupes)
+    losers, _ = write_scratch(exact.unionByName(own_dupes), "losers")
     staged = new.join(losers, "file_id").select("file_id", F.lit("STAGE_DELETE").alias("op_type"), F.concat_ws("/", F.lit(target), F.lit("_staging/to_delete/exact_dupe"), F.concat_ws("_", F.col("file_id").cast("string"), "filename")).alias("target_path"), F.lit("exact_dupe").alias("stage_reason"), F.col("keeper").alias("dupe_of_file_id"))
     rest = new.where("file_type <> 'UNKNOWN'").join(losers.select("file_id"), "file_id", "left_anti")
-    rated = organise.date_ladder(rest.drop("date_source", "date_confidence"), today, zone)
+    rated, _ = write_scratch(organise.date_ladder(rest.drop("date_source", "date_confidence"), today, zone), "ladder")
     own = survivor.own_cameras(cameras)
     base = rated.withColumn("own_model", F.lower("camera_model")).join(own.withColumn("_own", F.lit(True)), "own_model", "left").withColumn("base", F.when(F.col("_own") & (F.col("own_model") != ""), "Masters").otherwise("Others"))
     photos = base.where(F.col("file_type").isin(*PHOTO_TYPES)).select("file_id", parent(F.col("path")).alias("source"), "base", F.col("dt").cast("date").alias("day"))
-    matched = events.match_events(photos, events.existing_events(operations, files))
+    matched, _ = write_scratch(events.match_events(photos, events.existing_events(operations, files)), "matched")
     joined = matched.join(rest.select("file_id", "filename"), "file_id").select("file_id", F.concat_ws("/", "dir", "filename").alias("target_path"))
-    folders = events.resolve_folders(rest, roots)
+    folders, _ = write_scratch(events.resolve_folders(rest, roots), "folders")
     dated = rated.where(F.col("file_type").isin(*PHOTO_TYPES)).select(parent(F.col("path")).alias("folder"), dates.metadata_datetime(F.col("datetime_original")).cast("date").alias("day")).join(folders, "folder")
     groups, bases = events.span_groups(dated), events.event_bases(rest, folders, own)
     open_ = organise.effective_dates(rated, overrides, events.sibling_hints(rated)).join(matched.select("file_id"), "file_id", "left_anti").where(F.col("file_type").isin(*DATED_TYPES, "RESIZED_JPEG"))

@@ -16,6 +16,7 @@ from shelfmark.functions import dates, naming
 from shelfmark.functions.classify import DATED_TYPES
 from shelfmark.functions.paths import base_name, parent
 from shelfmark.operators import events, overlap, survivor
+from shelfmark.runtime import write_scratch
 
 #: Later reasons replace earlier ones.
 PRIORITY = ("resized_jpeg", "exact_dupe", "near_dupe", "redundant_copy", "folder_merge_loser")
@@ -121,12 +122,13 @@ def plan(files: DataFrame, duplicates: DataFrame, overrides: DataFrame, cameras:
     that are not staged and, unless ``include_done``, files that are done have
     none. Empty tables give an empty plan.
     """
-    ranked = survivor.with_rank(files, cameras)
-    staged = stage(files, staging_reasons(files, duplicates, ranked, overlaps), ranked)
+    # frames that several stages read are written once, which also keeps the plan small
+    ranked, _ = write_scratch(survivor.with_rank(files, cameras), "ranked")
+    staged, _ = write_scratch(stage(files, staging_reasons(files, duplicates, ranked, overlaps), ranked), "staged")
     live = files.where("status <> 'error'" if include_done else "status not in ('error', 'done')")
-    hints_from = date_ladder(files.drop("date_source", "date_confidence"), today, zone)
-    rated = effective_dates(hints_from, overrides, events.sibling_hints(hints_from))
-    folders = events.resolve_folders(files, roots, target)
+    ladder, _ = write_scratch(date_ladder(files.drop("date_source", "date_confidence"), today, zone), "ladder")
+    rated, _ = write_scratch(effective_dates(ladder, overrides, events.sibling_hints(ladder)), "rated")
+    folders, _ = write_scratch(events.resolve_folders(files, roots, target), "folders")
     own = survivor.own_cameras(cameras)
     grouped = rated.where(F.col("file_type").isin(*DATED_TYPES) & (F.col("status") != "error")).join(staged.select("file_id"), "file_id", "left_anti").join(folders, "folder")
     groups = events.span_groups(grouped.select("event_folder", "event_name", F.col("eff").cast("date").alias("day")))

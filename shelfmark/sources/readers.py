@@ -23,7 +23,7 @@ SKIPPED = ("_staging", ".Spotlight-V100", ".Trashes", ".fseventsd")
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size_bytes, mtime) of the supported files below ``root``, without
     hidden and system folders. Contents are not read: the column is not selected."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     rel = F.substring(F.col("path"), len(root.rstrip("/")) + 1, 2**31 - 1)
     hidden = F.exists(F.split(rel, "/"), lambda p: p.startswith(".") | p.isin(*SKIPPED))
     return rows.where(~hidden & is_supported(F.col("path")))
@@ -82,7 +82,7 @@ def file_rows(listing: DataFrame, tags: DataFrame, secondary: bool = False) -> D
 
 def hash_contents(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
     """(path, sha256) of the listed files below ``root``."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
     return rows.join(listing.select("path"), "path", "left_semi")
 
 

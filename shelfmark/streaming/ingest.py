@@ -27,14 +27,15 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], out
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(start, key, n): counts of tumbling windows; rows later than ``late`` behind the newest are dropped."""
-    rows = stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
+    """(start, key, n): counts of tumbling windows; rows later than ``late`` behind
+    the newest are dropped. Wall-clock times are read in the session's zone."""
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("start"), key, "n")
 
 
 def sessions(rows: DataFrame, time: str, key: str, gap: str = "3 days", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n): sessions of rows that follow one another within ``gap``."""
     if rows.isStreaming:
-        rows = rows.withWatermark(time, late)
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     g = rows.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n"))
     return g.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
