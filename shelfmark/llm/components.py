@@ -44,6 +44,7 @@ def _decompose(edges: DataFrame, level: int) -> tuple[DataFrame, list[str]]:
     start = F.struct((F.log(_uniform(F.col("u"), level)) / RATE).alias("at"), F.xxhash64("u", F.lit(level)).alias("tie"), F.col("u").alias("c"))
     labels = degrees.select("u", start.alias("best"), F.ceil(F.col("deg") / SALT_EDGES).cast("int").alias("salts"), F.lit(True).alias("fresh"))
     labels, path = write_scratch(labels, f"ldd-labels-{level}")
+    first = path
     hot = labels.where("salts > 1").select(F.col("u").alias("h"), F.col("salts").alias("s"))
     salted = edges.withColumn("salt", F.lit(0))
     if hot.limit(1).count():
@@ -56,10 +57,12 @@ def _decompose(edges: DataFrame, level: int) -> tuple[DataFrame, list[str]]:
         held = labels.select("u", "best", "salts", F.col("best").alias("had"))
         merged = held.unionByName(sent).groupBy("u").agg(F.min("best").alias("best"), F.max("salts").alias("salts"), F.max("had").alias("had"))
         labels, following = write_scratch(merged.select("u", "best", "salts", (F.col("best") != F.col("had")).alias("fresh")), f"ldd-labels-{level}")
-        drop_scratch(spark, path)
+        if path != first:  # the hot vertices are read from the first labels
+            drop_scratch(spark, path)
         path = following
         if not labels.where("fresh").limit(1).count():
             break
+    drop_scratch(spark, first)
     return labels.select(F.col("u").alias("v"), F.col("best.c").alias("c")), [path]
 
 
