@@ -37,8 +37,9 @@ def resolve_folders(paths: DataFrame, roots: DataFrame | None = None, target: st
         walls = [target.replace("/", "\\").rstrip("\\").lower() + s for s in ("", "\\masters", "\\others", "\\nodate")]
         wall = F.col("key").isin(*walls)
     judged = chain.join(nodes.select("up", "name", "good", F.coalesce("is_root", F.lit(False)).alias("top"), wall.alias("wall")), "up")
-    stops = judged.groupBy("folder").agg(F.min(F.when(F.col("wall"), F.col("steps"))).alias("wall_at"), F.min(F.when(F.col("top"), F.col("steps"))).alias("top_at"))
-    fit = judged.join(stops, "folder").where(F.col("good") & (F.col("wall_at").isNull() | (F.col("steps") < F.col("wall_at"))) & (F.col("top_at").isNull() | (F.col("steps") <= F.col("top_at"))))
+    climb = Window.partitionBy("folder")  # as many rows as the folder is deep
+    limits = judged.withColumn("wall_at", F.min(F.when(F.col("wall"), F.col("steps"))).over(climb)).withColumn("top_at", F.min(F.when(F.col("top"), F.col("steps"))).over(climb))
+    fit = limits.where(F.col("good") & (F.col("wall_at").isNull() | (F.col("steps") < F.col("wall_at"))) & (F.col("top_at").isNull() | (F.col("steps") <= F.col("top_at"))))
     found = fit.groupBy("folder").agg(F.min_by(F.struct("up", "name"), "steps").alias("e"))
     return folders.join(found, "folder", "left").select("folder", F.col("e.up").alias("event_folder"), F.col("e.name").alias("event_name"))
 

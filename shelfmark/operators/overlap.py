@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.naming import noncanonical_score
 from shelfmark.functions.paths import ancestors, parts, root_key, separator
+from shelfmark.runtime import write_scratch
 
 COVERAGE, MIN_SHARED, UBIQUITOUS = 0.95, 5, 30
 
@@ -67,7 +68,9 @@ def roll_up(twins: DataFrame) -> DataFrame:
 
 def folder_overlaps(files: DataFrame, roots: DataFrame | None = None, **limits) -> DataFrame:
     """Rolled-up twin folders of files that are not in error."""
-    return roll_up(twin_folders(subtree_members(files.where("status <> 'error'"), roots), **limits))
+    members, _ = write_scratch(subtree_members(files.where("status <> 'error'"), roots), "subtrees")
+    twins, _ = write_scratch(twin_folders(members, **limits), "twins")
+    return roll_up(twins)
 
 
 def merge_losers(files: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +83,7 @@ def merge_losers(files: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, Data
     decided = overlaps.where("status = 'reviewed' and keeper in ('a', 'b')")
     win = F.when(F.col("keeper") == "a", F.col("folder_a")).otherwise(F.col("folder_b"))
     lose = F.when(F.col("keeper") == "a", F.col("folder_b")).otherwise(F.col("folder_a"))
-    pairs = decided.select("folder_a", "folder_b", win.alias("win"), lose.alias("lose")).distinct()
+    pairs, _ = write_scratch(decided.select("folder_a", "folder_b", win.alias("win"), lose.alias("lose")).distinct(), "decided")
     long = files.where("status <> 'error'").select("file_id", "sha256", "status", F.explode(ancestors(F.col("path"))).alias("folder"))
     kept = long.where("sha256 is not null").join(pairs.select(F.col("win").alias("folder")).distinct(), "folder").groupBy("folder", "sha256").agg(F.min("file_id").alias("keeper"))
     losing = long.where("status <> 'done'").join(pairs.withColumnRenamed("lose", "folder"), "folder")

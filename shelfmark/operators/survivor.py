@@ -9,7 +9,8 @@ from shelfmark.functions.classify import COPY_TYPES
 from shelfmark.functions.naming import derivative_root, has_event_parent, is_camera_name
 from shelfmark.functions.paths import base_name, norm_stem, parent
 from shelfmark.operators.graph import connected_components
-from shelfmark.operators.pairs import JUNK, junk_keys, star_edges
+from shelfmark.operators.pairs import junk_keys, star_edges
+from shelfmark.runtime import write_scratch
 
 #: Aspect ratios of copies of one frame differ by at most this.
 ASPECT = 0.02
@@ -26,18 +27,21 @@ def own_cameras(cameras: DataFrame, owner: str = "self") -> DataFrame:
 
 def with_rank(files: DataFrame, cameras: DataFrame) -> DataFrame:
     """Add ``keep_rank``: greater is better. Area, size, own camera, event-named
-    parent, shorter path, smaller id; nulls count as 0."""
-    joined = files.join(own_cameras(cameras), F.lower("camera_model") == F.col("own_model"), "left")
+    parent, shorter path, smaller id; nulls count as 0. Folder names are judged
+    once each, as they are far fewer than files."""
+    name = F.coalesce(base_name(parent(F.col("path"))), F.lit(""))
+    names = files.select(name.alias("_folder")).distinct().withColumn("_event", has_event_parent(F.col("_folder")).cast("int"))
+    joined = files.withColumn("_folder", name).join(names, "_folder", "left").join(own_cameras(cameras), F.lower("camera_model") == F.col("own_model"), "left")
     area = F.coalesce(F.col("width").cast("long"), F.lit(0)) * F.coalesce("height", F.lit(0))
     rank = F.struct(
         area.alias("area"),
         F.coalesce("size_bytes", F.lit(0)).alias("size"),
         F.coalesce(F.col("own_model") != "", F.lit(False)).cast("int").alias("own"),
-        has_event_parent(base_name(parent(F.col("path")))).cast("int").alias("event"),
+        F.coalesce("_event", F.lit(0)).alias("event"),
         (-F.length("path")).alias("short"),
         (-F.col("file_id")).alias("first"),
     )
-    return joined.withColumn("keep_rank", rank).drop("own_model")
+    return joined.select(*files.columns, rank.alias("keep_rank"))
 
 
 def best_of(ranked: DataFrame, group: str, keeper: str = "keeper") -> DataFrame:
@@ -100,6 +104,7 @@ def redundant_copies(files: DataFrame, ranked: DataFrame) -> DataFrame:
     """
     base = ranked.where(F.col("file_type").isin(*COPY_TYPES) & (F.col("width") > 0) & (F.col("height") > 0)).withColumn("stem", norm_stem(F.col("filename")))
     copies = base.where("datetime_original is not null").select("file_id", "stem", "datetime_original", "phash", "keep_rank", (F.col("width") / F.col("height")).alias("aspect"), is_camera_name(F.col("filename")).alias("camera_name"))
+    copies, _ = write_scratch(copies, "copies")
     links = _shot_edges(copies).unionByName(_content_edges(copies, junk_keys(files, "phash")))
     groups = connected_components(links, "a", "b", "file_id", "component").join(copies.select("file_id", "keep_rank"), "file_id")
     by_shot = groups.join(best_of(groups, "component"), "component").where(F.col("file_id") != F.col("keeper")).select("file_id", "keeper")
@@ -130,9 +135,10 @@ def near_clusters(files: DataFrame, duplicates: DataFrame, ranked: DataFrame, re
     out = losers.unionByName(junk)
     if redundant is not None:
         out = out.unionByName(redundant.select("file_id"))
-    out = out.distinct()
+    out, _ = write_scratch(out.distinct(), "excluded")
     links = duplicates.where("dup_type = 'NEAR' and status = 'pending' and file_id_a <> file_id_b").select("file_id_a", "file_id_b", F.coalesce("hamming_distance", F.lit(0)).alias("h")).where(F.col("h") <= bits)
     links = links.join(out.select(F.col("file_id").alias("file_id_a")), "file_id_a", "left_anti").join(out.select(F.col("file_id").alias("file_id_b")), "file_id_b", "left_anti")
+    links, _ = write_scratch(links, "near-links")
     nodes = connected_components(links, "file_id_a", "file_id_b", "file_id", "cluster_id")
     least = links.join(nodes.select(F.col("file_id").alias("file_id_a"), "cluster_id"), "file_id_a").groupBy("cluster_id").agg(F.min("h").alias("min_hamming"))
     return nodes.join(least, "cluster_id").select("file_id", "cluster_id", "min_hamming")

@@ -10,7 +10,7 @@ from shelfmark.functions.hashes import hex_to_long, valid_hex
 from shelfmark.operators import events, graph, ledger, overlap, pairs, survivor
 from shelfmark.plans import incremental, organise
 from shelfmark.queries.reports import LADDER_SQL, NAME, PARENT, STEM, container_sql, exif_sql, sanitize_sql, today, unorganised_sql
-from shelfmark.runtime import table
+from shelfmark.runtime import table, write_scratch
 from shelfmark.streaming import ingest
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def hashed(files):
     return files.withColumns({"sha256": valid_hex(F.col("sha256"), 64), "phash": text, "key": F.when(text.isNotNull(), hex_to_long(text))})
 
 
+def ranking(rows, known_cameras):
+    """The ranked files, written once: several branches of a query read them."""
+    return write_scratch(survivor.with_rank(rows, known_cameras), "ranked")[0]
+
+
 HASHED = """
 h as (
   select * replace (
@@ -135,12 +140,12 @@ def _(duplicates):
 m as (select c.group_id, r.file_id, first_value(r.file_id) over (partition by c.group_id order by {ORDER}) as keeper from comp c join ranked r using (file_id))
 select file_id, keeper from m where file_id <> keeper""")
 def _(files, duplicates, known_cameras):
-    return survivor.exact_losers(duplicates, survivor.with_rank(hashed(files), known_cameras))
+    return survivor.exact_losers(duplicates, ranking(hashed(files), known_cameras))
 
 
 @query("w01_keep_rank", f"""with {HASHED}, {RANKED} select file_id, sha256, row_number() over (partition by sha256 order by {ORDER}) as place from ranked where sha256 is not null""")
 def _(files, known_cameras):
-    rows = survivor.with_rank(hashed(files), known_cameras).where("sha256 is not null")
+    rows = ranking(hashed(files), known_cameras).where("sha256 is not null")
     return rows.select("file_id", "sha256", F.row_number().over(Window.partitionBy("sha256").orderBy(F.desc("keep_rank"))).alias("place"))
 
 
@@ -194,7 +199,7 @@ redundant as (
 @query("x05_redundant_copies", f"with recursive {HASHED}, {RANKED}, {REDUNDANT} select file_id, keeper from redundant")
 def _(files, known_cameras):
     rows = hashed(files)
-    return survivor.redundant_copies(rows, survivor.with_rank(rows, known_cameras))
+    return survivor.redundant_copies(rows, ranking(rows, known_cameras))
 
 
 CLUSTERS = f"""
@@ -212,7 +217,7 @@ cluster_min as (select cl.cluster_id, min(d) as min_hamming from near_links n jo
 @query("x06_near_clusters", f"with recursive {HASHED}, {RANKED}, {REDUNDANT}, {CLUSTERS} select cl.file_id, cl.cluster_id, m.min_hamming from cl join cluster_min m using (cluster_id)")
 def _(files, duplicates, known_cameras):
     rows = hashed(files)
-    ranked = survivor.with_rank(rows, known_cameras)
+    ranked = ranking(rows, known_cameras)
     return survivor.near_clusters(rows, duplicates, ranked, survivor.redundant_copies(rows, ranked))
 
 
@@ -222,7 +227,7 @@ g as (select cluster_id, stem, count(*) as members, bool_or(bad) as degenerate,
 select cluster_id, stem, members, case when not degenerate and members > 1 then best end as keeper, degenerate, count(*) over (partition by cluster_id) > 1 as several_stems from g""")
 def _(files, duplicates, known_cameras):
     rows = hashed(files)
-    ranked = survivor.with_rank(rows, known_cameras)
+    ranked = ranking(rows, known_cameras)
     return survivor.resolve_clusters(survivor.near_clusters(rows, duplicates, ranked, survivor.redundant_copies(rows, ranked)), ranked)
 
 
@@ -598,7 +603,7 @@ staged as (select file_id, stage_reason, dupe_of_file_id from chosen where file_
 @query("x13_staged_files", f"with recursive {HASHED}, {RANKED}, {REDUNDANT}, {NEAR_LOSERS}, {STAGE_SQL} select file_id, stage_reason, dupe_of_file_id from staged")
 def _(files, duplicates, known_cameras):
     rows = hashed(files)
-    ranked = survivor.with_rank(rows, known_cameras)
+    ranked = ranking(rows, known_cameras)
     return organise.stage(rows, organise.staging_reasons(rows, duplicates, ranked), ranked)
 
 
