@@ -20,29 +20,29 @@ FILENAME_PATTERNS = (
     r"(?i)^(?:IMG|VID|MVIMG|MVI)[_-](\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})",
     r"(?i)^Screenshot[_-](\d{4})-?(\d{2})-?(\d{2})[-_](\d{2})-?(\d{2})-?(\d{2})",
     r"(?i)^(?:IMG|VID)-(\d{4})(\d{2})(\d{2})-WA\d+",
-    r"(?i)^Signal[-_](\d{4})-(\d{2})-(\d{2})(?:[-_T](\d{2})(\d{2})(\d{2}))?",
+    r"(?i)^Signal[-_](\d{4})-(\d{2})-(\d{2})[-_T](\d{2})(\d{2})(\d{2})",
+    r"(?i)^Signal[-_](\d{4})-(\d{2})-(\d{2})(?![-_T]\d{6})",
     r"(?i)^(?:IMG|VID|MVIMG|MVI)[_-](\d{4})(\d{2})(\d{2})(?!\d)",
     r"(?i)^Screenshot[_-](\d{4})-?(\d{2})-?(\d{2})(?!\d)",
     r"(?i)^(\d{4})(\d{2})(\d{2})[_-]\d{3,}",
 )
+#: Patterns above with a time of day.
+TIMED = (0, 1, 2, 4)
 
 
-def _ntz(text: Column, pattern: str, groups: int) -> Column:
-    """A wall-clock timestamp from the groups of ``pattern``, null unless they are a real one."""
-    g = lambda i: F.coalesce(F.regexp_extract(text, pattern, i).try_cast("int"), F.lit(0))
-    h, m, s = (g(4), g(5), g(6)) if groups == 6 else (F.lit(0),) * 3
-    made = F.try_make_timestamp_ntz(g(1), g(2), g(3), h, m, s.cast("decimal(16,6)"))
-    return F.when(text.rlike(pattern) & (h < 24) & (m < 60) & (s < 60), made)
+def _ntz(text: Column, pattern: str, timed: bool) -> Column:
+    """A wall-clock timestamp from the groups of ``pattern``, null unless they are
+    a real one. One rewrite and one cast keep the generated code small."""
+    shape = "$1-$2-$3 $4:$5:$6" if timed else "$1-$2-$3 00:00:00"
+    return F.when(text.rlike(pattern), F.regexp_replace(text, rf"(?s){pattern}.*$", shape).try_cast("timestamp_ntz"))
 
 
 def metadata_datetime(text: Column) -> Column:
     """Wall-clock time of "Y:m:d H:M:S", "Y-m-dTH:M:S" or "Y-m-d H:M:S"; a zone
     or offset at the end is dropped, anything else gives null."""
     raw = F.trim(F.regexp_replace(F.trim(text), r"(?:Z|[+-]\d{2}:?\d{2})$", ""))
-    return F.coalesce(
-        _ntz(raw, r"^(\d{4}):(\d{1,2}):(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$", 6),
-        _ntz(raw, r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{1,2}):(\d{1,2})$", 6),
-    )
+    time = r"(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+    return F.coalesce(_ntz(raw, rf"^(\d{{4}}):(\d{{1,2}}):(\d{{1,2}}) {time}", True), _ntz(raw, rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[T ]{time}", True))
 
 
 def modified_datetime(text: Column, zone: str) -> Column:
@@ -57,8 +57,7 @@ def modified_datetime(text: Column, zone: str) -> Column:
 def filename_datetime(name: Column) -> Column:
     """The time a capturing program wrote into a file name; midnight if it wrote only a date."""
     s = stem(name)
-    six = {0, 1, 2, 4}
-    return F.coalesce(*[_ntz(s, p, 6 if i in six else 3) for i, p in enumerate(FILENAME_PATTERNS)])
+    return F.coalesce(*[_ntz(s, p, i in TIMED) for i, p in enumerate(FILENAME_PATTERNS)])
 
 
 def is_sane(dt: Column, today: Column) -> Column:

@@ -13,7 +13,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import BROADCAST_ROWS
+from shelfmark.runtime import BROADCAST_ROWS, spread
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -138,7 +138,7 @@ def normalise_timestamps(files: DataFrame, roots: DataFrame, columns: list[str],
     Other columns are ignored, whatever their names. Repeated rows stay
     repeated; rows without any readable value give nothing.
     """
-    zoned = with_root_zone(files.select(F.col(key).alias("_key"), F.col(path).alias("_path"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]), roots, "_path", check=True)
+    zoned = with_root_zone(spread(files.select(F.col(key).alias("_key"), F.col(path).alias("_path"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])), roots, "_path", check=True)
     values = F.array(*[F.struct(F.lit(c).alias("n"), F.col(f"_v{i}").alias("v")) for i, c in enumerate(columns)])
     long = zoned.select("_key", "_zone", F.explode(values).alias("_f")).where(F.col("_f.v").isNotNull())
     text = _clean(F.col("_f.v"))

@@ -16,7 +16,7 @@ from shelfmark.functions import dates, naming
 from shelfmark.functions.classify import DATED_TYPES
 from shelfmark.functions.paths import base_name, parent
 from shelfmark.operators import events, overlap, survivor
-from shelfmark.runtime import write_scratch
+from shelfmark.runtime import spread, write_scratch
 
 #: Later reasons replace earlier ones.
 PRIORITY = ("resized_jpeg", "exact_dupe", "near_dupe", "redundant_copy", "folder_merge_loser")
@@ -40,7 +40,7 @@ def date_ladder(files: DataFrame, today: Column, zone: str = "UTC") -> DataFrame
 def audit_dates(files: DataFrame, today: Column, zone: str = "UTC") -> DataFrame:
     """(file_id, dt, date_source, date_confidence, candidates) of the dated types that are not in error."""
     rows = files.where(F.col("file_type").isin(*DATED_TYPES) & (F.col("status") != "error"))
-    return date_ladder(rows, today, zone).select("file_id", "dt", "date_source", "date_confidence", "candidates")
+    return date_ladder(spread(rows), today, zone).select("file_id", "dt", "date_source", "date_confidence", "candidates")
 
 
 def staging_reasons(files: DataFrame, duplicates: DataFrame, ranked: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def plan(files: DataFrame, duplicates: DataFrame, overrides: DataFrame, cameras:
     ranked, _ = write_scratch(survivor.with_rank(files, cameras), "ranked")
     staged, _ = write_scratch(stage(files, staging_reasons(files, duplicates, ranked, overlaps), ranked), "staged")
     live = files.where("status <> 'error'" if include_done else "status not in ('error', 'done')")
-    ladder, _ = write_scratch(date_ladder(files.drop("date_source", "date_confidence"), today, zone), "ladder")
+    ladder, _ = write_scratch(date_ladder(spread(files.drop("date_source", "date_confidence")), today, zone), "ladder")
     rated, _ = write_scratch(effective_dates(ladder, overrides, events.sibling_hints(ladder)), "rated")
     folders, _ = write_scratch(events.resolve_folders(files, roots, target), "folders")
     own = survivor.own_cameras(cameras)

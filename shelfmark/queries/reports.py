@@ -249,8 +249,8 @@ def filename_sql(col: str) -> str:
     s = STEM.format(col)
     out = []
     for i, p in enumerate(dates.FILENAME_PATTERNS):
-        p = p.replace(r"(?!\d)", r"(?:\D|$)")
-        six = i in (0, 1, 2, 4)
+        p = p.replace(r"(?!\d)", r"(?:\D|$)").replace(r"(?![-_T]\d{6})", r"(?:$|[^-_T]|[-_T]\d{0,5}(?:\D|$))")
+        six = i in dates.TIMED
         g = [f"regexp_extract({s}, '{p}', {k})" for k in range(1, 7 if six else 4)] + ([] if six else ["'0'"] * 3)
         out.append(f"case when regexp_matches({s}, '{p}') then {_stamp(*g)} end")
     return f"coalesce({', '.join(out)})"
