@@ -14,7 +14,7 @@ MAX_SPAN, MAX_GAP, DOMINANCE = 30, 3, 0.90
 
 
 def resolve_folders(paths: DataFrame, roots: DataFrame | None = None, target: str | None = None) -> DataFrame:
-    """(folder, event_folder, event_name): for each distinct parent folder of
+    """(folder, event_folder, event_name, event_label): for each distinct parent folder of
     ``paths`` (column path) the nearest folder, itself included, whose name is a
     label. The climb ends at a scan root (which may be the label itself) and at
     the target tree (which may not). Null where there is none.
@@ -36,12 +36,12 @@ def resolve_folders(paths: DataFrame, roots: DataFrame | None = None, target: st
     if target:
         walls = [target.replace("/", "\\").rstrip("\\").lower() + s for s in ("", "\\masters", "\\others", "\\nodate")]
         wall = F.col("key").isin(*walls)
-    judged = chain.join(nodes.select("up", "name", "good", F.coalesce("is_root", F.lit(False)).alias("top"), wall.alias("wall")), "up")
+    judged = chain.join(nodes.select("up", "name", "clean", "good", F.coalesce("is_root", F.lit(False)).alias("top"), wall.alias("wall")), "up")
     climb = Window.partitionBy("folder")  # as many rows as the folder is deep
     limits = judged.withColumn("wall_at", F.min(F.when(F.col("wall"), F.col("steps"))).over(climb)).withColumn("top_at", F.min(F.when(F.col("top"), F.col("steps"))).over(climb))
     fit = limits.where(F.col("good") & (F.col("wall_at").isNull() | (F.col("steps") < F.col("wall_at"))) & (F.col("top_at").isNull() | (F.col("steps") <= F.col("top_at"))))
-    found = fit.groupBy("folder").agg(F.min_by(F.struct("up", "name"), "steps").alias("e"))
-    return folders.join(found, "folder", "left").select("folder", F.col("e.up").alias("event_folder"), F.col("e.name").alias("event_name"))
+    found = fit.groupBy("folder").agg(F.min_by(F.struct("up", "name", "clean"), "steps").alias("e"))
+    return folders.join(found, "folder", "left").select("folder", F.col("e.up").alias("event_folder"), F.col("e.name").alias("event_name"), F.col("e.clean").alias("event_label"))
 
 
 def _self_and_up(folder: Column) -> Column:

@@ -105,7 +105,7 @@ def build_targets(rows: DataFrame, folders: DataFrame, groups: DataFrame, bases:
     video = F.col("file_type") == "VIDEO"
     camera_base = F.when(F.col("_own"), "Masters").otherwise("Others")
     base = F.when(video & F.col("event_folder").isNotNull(), F.coalesce("base", F.lit("Others"))).otherwise(camera_base)
-    event = F.coalesce(F.nullif("ov_event", F.lit("")), naming.sanitize_event(F.col("event_name"), F.when(F.col("kind") == "event", F.col("last"))))
+    event = F.coalesce(F.nullif("ov_event", F.lit("")), F.when(F.col("kind") == "event", F.col("label")).otherwise(F.coalesce("event_label", F.lit(""))))
     sub = target_folder(base, F.col("eff"), event, F.col("kind"), F.col("start"), F.col("span"), F.col("label"), F.col("ov_event"), F.coalesce("per_day", F.lit(False)))
     sub = F.when(F.col("eff").isNull(), F.when(video, "Videos/NoDate").otherwise("NoDate")).when(video, F.concat_ws("/", sub, F.lit("Videos"))).otherwise(sub)
     placed = joined.select("file_id", "filename", "extension", video.alias("video"), sub.alias("sub"), F.when(F.col("eff").isNull(), "video").otherwise(F.date_format("eff", "yyyy-MM-dd")).alias("day"))

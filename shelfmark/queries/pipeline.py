@@ -338,7 +338,7 @@ resolved as (
 
 @query("f21_event_folders", f"with {FOLDERS} select folder, event_folder, event_name from resolved")
 def _(files, scan_roots):
-    return events.resolve_folders(files, scan_roots)
+    return events.resolve_folders(files, scan_roots).drop("event_label")
 
 
 @query("a16_sibling_hints", f"""with d as (select {PARENT.format('path')} as folder, {exif_sql('datetime_original')}::date as day from files where file_type <> 'VIDEO' and status <> 'error' and date_confidence in ('HIGH', 'MEDIUM')),
