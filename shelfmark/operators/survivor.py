@@ -161,6 +161,17 @@ def soft_frames(scores: DataFrame, cluster: str = "cluster_id", score: str = "sh
     return scores.join(best, cluster, "left").withColumn("soft", F.coalesce(F.col(score) < SOFT * F.col("_m"), F.lit(False))).drop("_m")
 
 
+def default_selection(clusters: DataFrame, ranked: DataFrame, scores: DataFrame) -> DataFrame:
+    """(file_id, cluster_id, keep): the frames that are kept at first. A cluster
+    of one stem keeps its best; another keeps every frame that is not soft, and
+    all of them if none would be left. ``scores`` is (file_id, sharpness)."""
+    rows = clusters.select("file_id", "cluster_id").join(ranked.select("file_id", norm_stem(F.col("filename")).alias("stem"), "keep_rank"), "file_id").join(scores, "file_id", "left")
+    rows = soft_frames(rows)
+    whole = rows.groupBy("cluster_id").agg((F.min("stem") == F.max("stem")).alias("one"), F.max("keep_rank").alias("best"), F.bool_and("soft").alias("all_soft"))
+    keep = F.when(F.col("one"), F.col("keep_rank") == F.col("best")).otherwise(~F.col("soft") | F.col("all_soft"))
+    return rows.join(whole, "cluster_id").select("file_id", "cluster_id", keep.alias("keep"))
+
+
 def apply_decisions(duplicates: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     """New version of the link table: pending NEAR links with both sides in one
     decided cluster become reviewed with its keeper (null keeps all).
