@@ -123,8 +123,8 @@ def plan(files: DataFrame, duplicates: DataFrame, overrides: DataFrame, cameras:
     none. Empty tables give an empty plan.
     """
     # frames that several stages read are written once, which also keeps the plan small
-    ranked, _ = write_scratch(survivor.with_rank(files, cameras), "ranked")
-    staged, _ = write_scratch(stage(files, staging_reasons(files, duplicates, ranked, overlaps), ranked), "staged")
+    ranked, _ = write_scratch(survivor.with_rank(spread(files), cameras), "ranked")
+    staged, _ = write_scratch(stage(ranked, staging_reasons(ranked, duplicates, ranked, overlaps), ranked), "staged")
     live = files.where("status <> 'error'" if include_done else "status not in ('error', 'done')")
     ladder, _ = write_scratch(date_ladder(spread(files.drop("date_source", "date_confidence")), today, zone), "ladder")
     rated, _ = write_scratch(effective_dates(ladder, overrides, events.sibling_hints(ladder)), "rated")

@@ -10,7 +10,7 @@ from shelfmark.functions.hashes import hex_to_long, valid_hex
 from shelfmark.operators import events, graph, ledger, overlap, pairs, survivor
 from shelfmark.plans import incremental, organise
 from shelfmark.queries.reports import LADDER_SQL, NAME, PARENT, STEM, container_sql, exif_sql, sanitize_sql, today, unorganised_sql
-from shelfmark.runtime import table, write_scratch
+from shelfmark.runtime import spread, table, write_scratch
 from shelfmark.streaming import ingest
 
 QUERIES: dict = {}
@@ -39,7 +39,8 @@ def hashed(files):
 
 def ranking(rows, known_cameras):
     """The ranked files, written once: several branches of a query read them."""
-    return write_scratch(survivor.with_rank(rows, known_cameras), "ranked")[0]
+    needed = rows.drop("error_msg", "keywords", "updated_at", "scanned_at", "date_source", "rating", "software", "key")
+    return write_scratch(survivor.with_rank(spread(needed), known_cameras), "ranked")[0]
 
 
 HASHED = """
@@ -198,8 +199,8 @@ redundant as (
 
 @query("x05_redundant_copies", f"with recursive {HASHED}, {RANKED}, {REDUNDANT} select file_id, keeper from redundant")
 def _(files, known_cameras):
-    rows = hashed(files)
-    return survivor.redundant_copies(rows, ranking(rows, known_cameras))
+    ranked = ranking(hashed(files), known_cameras)
+    return survivor.redundant_copies(ranked, ranked)
 
 
 CLUSTERS = f"""
@@ -216,9 +217,8 @@ cluster_min as (select cl.cluster_id, min(d) as min_hamming from near_links n jo
 
 @query("x06_near_clusters", f"with recursive {HASHED}, {RANKED}, {REDUNDANT}, {CLUSTERS} select cl.file_id, cl.cluster_id, m.min_hamming from cl join cluster_min m using (cluster_id)")
 def _(files, duplicates, known_cameras):
-    rows = hashed(files)
-    ranked = ranking(rows, known_cameras)
-    return survivor.near_clusters(rows, duplicates, ranked, survivor.redundant_copies(rows, ranked))
+    ranked = ranking(hashed(files), known_cameras)
+    return survivor.near_clusters(ranked, duplicates, ranked, survivor.redundant_copies(ranked, ranked))
 
 
 @query("x07_resolved_clusters", f"""with recursive {HASHED}, {RANKED}, {REDUNDANT}, {CLUSTERS},
@@ -226,9 +226,8 @@ m as (select cl.cluster_id, lower(trim({STEM.format('r.filename')})) as stem, r.
 g as (select cluster_id, stem, count(*) as members, bool_or(bad) as degenerate, (array_agg(file_id order by {ORDER}))[1] as best from m group by 1, 2)
 select cluster_id, stem, members, case when not degenerate and members > 1 then best end as keeper, degenerate, count(*) over (partition by cluster_id) > 1 as several_stems from g""")
 def _(files, duplicates, known_cameras):
-    rows = hashed(files)
-    ranked = ranking(rows, known_cameras)
-    return survivor.resolve_clusters(survivor.near_clusters(rows, duplicates, ranked, survivor.redundant_copies(rows, ranked)), ranked)
+    ranked = ranking(hashed(files), known_cameras)
+    return survivor.resolve_clusters(survivor.near_clusters(ranked, duplicates, ranked, survivor.redundant_copies(ranked, ranked)), ranked)
 
 
 @query("x08_applied_decisions", """with d as (select file_id, file_type as cluster, min(file_id) over (partition by file_type) as keeper from files where file_type in ('HEIC', 'DEV_JPEG'))
@@ -602,9 +601,8 @@ staged as (select file_id, stage_reason, dupe_of_file_id from chosen where file_
 
 @query("x13_staged_files", f"with recursive {HASHED}, {RANKED}, {REDUNDANT}, {NEAR_LOSERS}, {STAGE_SQL} select file_id, stage_reason, dupe_of_file_id from staged")
 def _(files, duplicates, known_cameras):
-    rows = hashed(files)
-    ranked = ranking(rows, known_cameras)
-    return organise.stage(rows, organise.staging_reasons(rows, duplicates, ranked), ranked)
+    ranked = ranking(hashed(files), known_cameras)
+    return organise.stage(ranked, organise.staging_reasons(ranked, duplicates, ranked), ranked)
 
 
 QUERIES["x12_plan"] = x12_plan
