@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.queries import general, pipeline, reports
+from shelfmark.queries import general, more, pipeline, reports
 
-MODULES = (general, reports, pipeline)
+MODULES = (general, reports, pipeline, more)
 
 
 def queries() -> dict:
