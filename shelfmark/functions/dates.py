@@ -50,7 +50,10 @@ def modified_datetime(text: Column, zone: str) -> Column:
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
     aware = text.rlike(r"[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
     instant = F.try_to_timestamp(text)
-    here = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_micros(F.unix_micros(instant)).cast("timestamp_ntz"))
+    # counted from the epoch, so that the session's zone plays no part
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    here = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     return F.when(iso, F.when(aware, here).otherwise(text.try_cast("timestamp_ntz")))
 
 

@@ -70,6 +70,15 @@ def test_date_ladder(spark):
     ]
 
 
+def test_modified_times_do_not_follow_the_session(spark):
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = values(spark, ["2018-01-01T23:30:00+00:00", "2018-11-04T05:30:00Z", "2018-01-01T10:00:00.250", "2018-01-01", "junk"], lambda c: dates.modified_datetime(c, "Asia/Taipei").cast("string"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2018-01-02 07:30:00", "2018-11-04 13:30:00", "2018-01-01 10:00:00.25", "2018-01-01 00:00:00", None]
+
+
 def test_classes(spark):
     rows = [("/a/x.CR2", None, None), ("/a/x.mp4", None, None), ("/a/x.HEIC", None, None), ("/a/x.png", None, None), ("/a/Thumbs/x.jpg", None, None), ("/a/thumbs.jpg", "Adobe Lightroom 5", None), ("/a/x.jpg", None, 4000), ("/a/web/x.jpg", None, 4000), ("/a/x_sm.jpg", None, 4000), ("/a/x.jpg", None, 800), ("/a/x.jpg", "WhatsApp", 800), (None, None, None)]
     df = spark.createDataFrame(rows, "p string, s string, w int")
