@@ -132,9 +132,10 @@ def brute_matches(rows, radius=6):
     return {tuple(sorted((a[0], b[0]))) for a in old for b in new if a[3] and a[3] == b[3] or a[2] and b[2] and (int(a[2], 16) ^ int(b[2], 16)).bit_count() <= radius}
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_new_files_match_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,bound", [(4096, 100_000), (3, 100_000), (4096, 0), (3, 0)])
+def test_new_files_match_brute_force(spark, monkeypatch, hot, bound):
     monkeypatch.setattr(cells, "HOT_CELL", hot)
+    monkeypatch.setattr(cells, "BROADCAST_ROWS", bound)
     rng = random.Random(hot)
     base = [rng.getrandbits(64) for _ in range(30)] + [0, 2**64 - 1]
     rows = []
