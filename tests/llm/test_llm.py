@@ -349,3 +349,14 @@ def test_recall_on_planted_texts(spark, labeller):
             hits += found
             by[enc] += not found
     assert hits >= 0.97 * tried, by
+
+
+@pytest.mark.parametrize("step, copies", [(2, 1), (3, 20)])
+def test_frequent_garbled_texts_do_not_become_clean(spark, labeller, step, copies):
+    texts = sorted({r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect() if r.text and not r.text.isascii()})
+    russian = [t for t in texts if sum("\u0400" <= c < "\u0500" for c in t) > 40 and not labeller.restore(t)[1]][::step]
+    bad = [t.encode("cp1251", "replace").decode("koi8_r") for t in russian]
+    assert len(bad) > 10
+    rows = [(i, t) for i, t in enumerate(set(texts) - set(russian))] + [(-i - 1, t) for i, t in enumerate(bad) for _ in range(copies)]
+    found = {r.doc_id for r in garble.restore_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i < 0} <= found
