@@ -360,3 +360,13 @@ def test_frequent_garbled_texts_do_not_become_clean(spark, labeller, step, copie
     rows = [(i, t) for i, t in enumerate(set(texts) - set(russian))] + [(-i - 1, t) for i, t in enumerate(bad) for _ in range(copies)]
     found = {r.doc_id for r in garble.restore_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i for i, _ in rows if i < 0} <= found
+
+
+def test_long_texts_try_every_pair_that_could_pay(labeller):
+    ru, de, el = CLEAN[2], CLEAN[1], CLEAN[3]
+    parts = [(western(de.encode("utf-8")), de), (western(ru.encode("cp1251")), ru), (western(el.encode("cp1253")), el), (de.encode("utf-8").decode("cp437"), de), (ru.encode("utf-8").decode("mac_roman"), ru), (ru.encode("koi8_r").decode("cp1251"), ru)]
+    sound = " plain words in between, as many as it takes\n"
+    fixed, spans = labeller.restore(sound.join(bad for bad, _ in parts))
+    assert len(labeller.candidates(sound.join(bad for bad, _ in parts))) > 4
+    assert fixed == sound.join(t for _, t in parts)
+    assert len({s for _, _, s in spans}) >= 6
