@@ -116,6 +116,20 @@ def near_file_pairs(files: DataFrame, key: str, id_: str, radius: int, limit: in
     return same.unionByName(near.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"), F.col("hamming").alias("hamming_distance")))
 
 
+def near_links(files: DataFrame, key: str, id_: str, radius: int) -> DataFrame:
+    """(file_id_a, file_id_b, hamming_distance), a < b, of all keys, however many
+    files hold them: each file is linked at distance 0 with its key's smallest
+    id, and the smallest ids of two keys within ``radius`` are linked. Any two
+    files are as far apart as the smallest ids of their keys, so this holds all
+    near pairs in at most one link a file and one a pair of keys."""
+    first = files.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(id_).alias("i"))
+    same = star_edges(files, key, id_).select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"), F.lit(0).alias("hamming_distance"))
+    if radius == 0:
+        return same
+    near = hamming_pairs(first, None, "k", radius).join(first.select(F.col("k").alias("key_a"), F.col("i").alias("x")), "key_a").join(first.select(F.col("k").alias("key_b"), F.col("i").alias("y")), "key_b")
+    return same.unionByName(near.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"), F.col("hamming").alias("hamming_distance")))
+
+
 def junk_keys(rows: DataFrame, key: str, limit: int = JUNK) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
 

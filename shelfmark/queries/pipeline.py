@@ -117,6 +117,14 @@ def _(files):
     return pairs.near_file_pairs(rows, "key", "file_id", RADIUS)
 
 
+@query("j06_near_links", f"""with {HASHED}, k as (select file_id, ('0x' || phash)::ubigint as k from h where phash is not null and file_type in ('CAMERA_JPEG', 'DEV_JPEG', 'HEIC')),
+g as (select k, min(file_id) as f from k group by 1)
+select g.f as file_id_a, k.file_id as file_id_b, 0 as hamming_distance from k join g using (k) where k.file_id <> g.f
+union all select least(a.f, b.f), greatest(a.f, b.f), bit_count(xor(a.k, b.k))::int from g a join g b on a.k < b.k and bit_count(xor(a.k, b.k)) <= {RADIUS}""")
+def _(files):
+    return pairs.near_links(hashed(files).where(F.col("file_type").isin("CAMERA_JPEG", "DEV_JPEG", "HEIC")), "key", "file_id", RADIUS)
+
+
 @query("k04_normalised_links", """select least(file_id_a, file_id_b) as file_id_a, greatest(file_id_a, file_id_b) as file_id_b, min(dup_type) as dup_type,
  arg_min(coalesce(hamming_distance, -1), ((dup_type <> 'EXACT')::int, (hamming_distance is null)::int, coalesce(hamming_distance, 0))) as hamming_distance
 from duplicates where file_id_a <> file_id_b group by 1, 2""")

@@ -357,3 +357,19 @@ def test_nulls_everywhere(spark):
     for r in organise.audit_dates(files, F.to_date(F.lit("2024-01-01"))).collect():
         counts[r.date_source] += 1
     assert counts == {"none": 2}
+
+
+def test_near_links_hold_the_pairs_of_frequent_keys(spark):
+    keys = [0] * 9 + [3] + [0xFF00] * 10 + [(1 << 40) - 1, None]
+    rows = list(enumerate(keys, 1))
+    got = pairs.near_links(spark.createDataFrame(rows, "i long, k long"), "k", "i", 8).collect()
+    first = {k: min(i for i, x in rows if x == k) for k in keys if k is not None}
+    far = {(r.file_id_a, r.file_id_b): r.hamming_distance for r in got}
+    assert len(far) == len(got)
+    rep = {i: i for i, k in rows if k is not None} | {b: a for (a, b), h in far.items() if h == 0}
+    known = lambda i, j: 0 if rep[i] == rep[j] else far.get((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    for i, x in rows[:-1]:
+        for j, y in rows[:-1]:
+            apart = (x ^ y).bit_count()
+            assert known(i, j) == (apart if apart <= 8 else None)
+    assert all(rep[i] == first[k] for i, k in rows[:-1])
