@@ -52,6 +52,14 @@ def star_edges(rows: DataFrame, key: str, id_: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).join(first, key).where(F.col(id_) != F.col("a")).select("a", F.col(id_).alias("b"))
 
 
+def new_exact_links(duplicates: DataFrame, rows: DataFrame, key: str = "sha256", id_: str = "file_id") -> DataFrame:
+    """EXACT links to be merged into ``duplicates``: each file of a key with the
+    key's smallest id, however many files hold the key. A pair recorded as NEAR
+    only is linked too, as the components follow EXACT links."""
+    stars = star_edges(rows, key, id_).select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"), F.lit("EXACT").alias("dup_type"), F.lit(0).alias("hamming_distance"))
+    return insert_edges(duplicates.where("dup_type = 'EXACT'"), stars)
+
+
 def _bands(radius: int) -> tuple[list[tuple[int, int]], list[int]]:
     """Bands (offset, width) of a 64-bit key and the bits to search around each,
     so that any two keys within ``radius`` meet in one band."""

@@ -140,6 +140,13 @@ def _(files, duplicates):
     return pairs.insert_edges(duplicates, found)
 
 
+@query("k04_new_star_links", f"""with {HASHED}, g as (select sha256, min(file_id) as f from h where sha256 is not null group by 1)
+select g.f as file_id_a, h.file_id as file_id_b, 'EXACT' as dup_type, 0 as hamming_distance from h join g using (sha256) where h.file_id <> g.f
+and not exists (select 1 from duplicates d where d.dup_type = 'EXACT' and least(d.file_id_a, d.file_id_b) = g.f and greatest(d.file_id_a, d.file_id_b) = h.file_id)""")
+def _(files, duplicates):
+    return pairs.new_exact_links(duplicates, hashed(files))
+
+
 @query("a13_exact_components", f"with recursive links as (select file_id_a as a, file_id_b as b from duplicates where dup_type = 'EXACT'), {components_sql('links')} select file_id, group_id from comp")
 def _(duplicates):
     return survivor.exact_groups(duplicates)

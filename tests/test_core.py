@@ -373,3 +373,11 @@ def test_near_links_hold_the_pairs_of_frequent_keys(spark):
             apart = (x ^ y).bit_count()
             assert known(i, j) == (apart if apart <= 8 else None)
     assert all(rep[i] == first[k] for i, k in rows[:-1])
+
+
+def test_new_exact_links_join_frequent_hashes(spark):
+    files = spark.createDataFrame([(i, "x") for i in range(1, 13)] + [(20, "y"), (21, "y"), (22, "z"), (23, None)], "file_id long, sha256 string")
+    known = spark.createDataFrame([(1, 2, "EXACT", 0), (3, 1, "NEAR", 0), (21, 20, "EXACT", 0)], "file_id_a long, file_id_b long, dup_type string, hamming_distance int")
+    got = pairs.new_exact_links(known, files).collect()
+    assert {(r.file_id_a, r.file_id_b) for r in got} == {(1, i) for i in range(3, 13)}
+    assert {(r.dup_type, r.hamming_distance) for r in got} == {("EXACT", 0)}
