@@ -45,6 +45,25 @@ def near_matches(new: DataFrame, library: DataFrame, radius: int = 8) -> DataFra
     return met.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"), F.col("hamming").alias("hamming_distance"))
 
 
+def near_library_links(new: DataFrame, library: DataFrame, radius: int = 8) -> DataFrame:
+    """(new_id, library_id, hamming_distance, kind): new files against library
+    files by fingerprint, of all keys, however many files hold them. "near" links
+    the smallest new id of a key with the smallest library id of each key within
+    ``radius``, the same key included. The other files of these keys are not
+    paired with each other: "new" (its own smallest new id as library_id) and
+    "library" (the smallest library id as new_id) link each with its key's."""
+    key = lambda df: df.select("file_id", F.when(valid_hex(F.col("phash"), 16).isNotNull(), hex_to_long(valid_hex(F.col("phash"), 16))).alias("key")).where("key is not null")
+    a, b = key(new), key(library)
+    keys = pairs.hamming_pairs(a, b, "key", radius)
+    first = lambda df, k, i: df.groupBy(F.col("key").alias(k)).agg(F.min("file_id").alias(i))
+    near = keys.join(first(a, "key_a", "new_id"), "key_a").join(first(b, "key_b", "library_id"), "key_b").select("new_id", "library_id", F.col("hamming").alias("hamming_distance"), F.lit("near").alias("kind"))
+    of_new = pairs.star_edges(a.join(keys.select(F.col("key_a").alias("key")).distinct(), "key"), "key", "file_id")
+    of_library = pairs.star_edges(b.join(keys.select(F.col("key_b").alias("key")).distinct(), "key"), "key", "file_id")
+    same = of_new.select(F.col("b").alias("new_id"), F.col("a").alias("library_id"), F.lit(0).alias("hamming_distance"), F.lit("new").alias("kind"))
+    held = of_library.select(F.col("a").alias("new_id"), F.col("b").alias("library_id"), F.lit(0).alias("hamming_distance"), F.lit("library").alias("kind"))
+    return near.unionByName(same).unionByName(held)
+
+
 def plan_additions(files: DataFrame, operations: DataFrame, overrides: DataFrame, cameras: DataFrame, roots: DataFrame | None, today: Column, target: str = "Library", zone: str = "UTC") -> DataFrame:
     """(file_id, op_type, target_path, stage_reason, dupe_of_file_id) of the new files.
 

@@ -442,6 +442,18 @@ def _(files, operations):
     return incremental.near_matches(incremental.new_files(rows, operations), rows.where("status = 'done'"), 4)
 
 
+@query("j07_near_library_links", f"""with {HASHED}, k as (select file_id, status, ('0x' || phash)::ubigint as k from h where phash is not null),
+n as (select k, file_id, min(file_id) over (partition by k) as f from k where status not in ('done', 'error') and file_id not in (select file_id from operations where status = 'done')),
+o as (select k, file_id, min(file_id) over (partition by k) as f from k where status = 'done'),
+near as (select n.k as nk, o.k as ok, n.f as new_id, o.f as library_id, bit_count(xor(n.k, o.k))::int as hamming_distance from (select distinct k, f from n) n join (select distinct k, f from o) o on bit_count(xor(n.k, o.k)) <= {RADIUS})
+select new_id, library_id, hamming_distance, 'near' as kind from near
+union all select file_id, f, 0, 'new' from n where file_id <> f and k in (select nk from near)
+union all select f, file_id, 0, 'library' from o where file_id <> f and k in (select ok from near)""")
+def _(files, operations):
+    rows = hashed(files)
+    return incremental.near_library_links(incremental.new_files(rows, operations), rows.where("status = 'done'"), RADIUS)
+
+
 @query("j08_exact_new_vs_library", f"""with {HASHED}, new as (select file_id, sha256 from h where status not in ('done', 'error') and file_id not in (select file_id from operations where status = 'done'))
 select n.file_id, min(o.file_id) as keeper from new n join h o on o.sha256 = n.sha256 and o.status = 'done' group by 1""")
 def _(files, operations):

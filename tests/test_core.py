@@ -381,3 +381,18 @@ def test_new_exact_links_join_frequent_hashes(spark):
     got = pairs.new_exact_links(known, files).collect()
     assert {(r.file_id_a, r.file_id_b) for r in got} == {(1, i) for i in range(3, 13)}
     assert {(r.dup_type, r.hamming_distance) for r in got} == {("EXACT", 0)}
+
+
+def test_near_library_links_equal_brute_force(spark):
+    rng = random.Random(5)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    flip = lambda k, n: k ^ sum(1 << b for b in rng.sample(range(64), n))
+    new = dict(enumerate([flip(k, n) for k in seeds for n in (0, 3, 5)] + [seeds[0]] * 9, 1))
+    library = dict(enumerate([flip(k, n) for k in seeds for n in (0, 2, 4)] + [seeds[1]] * 9, 100))
+    frame = lambda d: spark.createDataFrame([(i, f"{k:016x}") for i, k in d.items()], "file_id long, phash string")
+    got = incremental.near_library_links(frame(new), frame(library)).collect()
+    of_new, of_library = {r.new_id: r.library_id for r in got if r.kind == "new"}, {r.library_id: r.new_id for r in got if r.kind == "library"}
+    near = {(r.new_id, r.library_id): r.hamming_distance for r in got if r.kind == "near"}
+    every = {(i, j): (x ^ y).bit_count() for i, x in new.items() for j, y in library.items()}
+    assert {(i, j): near[p] for i, j in every if (p := (of_new.get(i, i), of_library.get(j, j))) in near} == {p: h for p, h in every.items() if h <= 8}
+    assert any(h > 4 for h in near.values())
