@@ -473,6 +473,27 @@ def _(files, folder_overrides):
     return events.match_events(rows, ev)
 
 
+@query("j17_photo_events", f"""with ev as (select source_folder as dir, date_override::date as lo, date_override::date + 20 as hi from folder_overrides where date_override is not null),
+p as (select file_id, {PARENT.format('path')} as source, {exif_sql('datetime_original')}::date as day from files where file_type in ('RAW', 'CAMERA_JPEG', 'DEV_JPEG', 'HEIC')),
+linked as (select p.file_id, count(*) as n, (array_agg(e.dir order by e.lo, e.dir))[1] as one, (array_agg(e.dir order by e.lo, e.dir) filter (where p.day between e.lo and e.hi))[1] as held from p join ev e on e.dir = p.source group by 1)
+select file_id, case when n = 1 then one else held end as dir from linked where n = 1 or held is not null
+union all select p.file_id, (array_agg(e.dir order by e.lo, e.dir))[1] from p join ev e on p.day between e.lo and e.hi where p.file_id not in (select file_id from linked) group by 1""")
+def _(files, folder_overrides):
+    return photo_events(files, folder_overrides)
+
+
+def photo_events(files, folder_overrides):
+    """(file_id, dir): the event of every photo. A dated folder of the overrides is
+    an event of 21 days, filled from that folder."""
+    from shelfmark.functions.classify import PHOTO_TYPES
+    from shelfmark.functions.dates import metadata_datetime
+
+    lo = F.to_date("date_override")
+    ev = folder_overrides.where("date_override is not null").select(F.col("source_folder").alias("dir"), F.lit("b").alias("base"), lo.alias("date_lo"), F.date_add(lo, 20).alias("date_hi"), F.array("source_folder").alias("lineage"))
+    rows = files.where(F.col("file_type").isin(*PHOTO_TYPES)).select("file_id", paths.parent(F.col("path")).alias("source"), F.lit("b").alias("base"), metadata_datetime(F.col("datetime_original")).cast("date").alias("day"))
+    return events.match_events(rows, ev)
+
+
 @query("j18_relocated", f"""with {HASHED}, l0 as (select file_id, coalesce(filename, '') as n, sha256 from h where status = 'flagged' and sha256 is not null), r0 as (select path, coalesce(filename, '') as n, sha256 from h where status = 'pending' and sha256 is not null),
 same as (select l.file_id, r.path from (select *, row_number() over (partition by sha256, n order by file_id) as k from l0) l join (select *, row_number() over (partition by sha256, n order by path) as k from r0) r using (sha256, n, k)),
 rest as (select l.file_id, r.path from (select *, row_number() over (partition by sha256 order by file_id) as k from l0 where file_id not in (select file_id from same)) l join (select *, row_number() over (partition by sha256 order by path) as k from r0 where path not in (select path from same)) r using (sha256, k))

@@ -396,3 +396,13 @@ def test_near_library_links_equal_brute_force(spark):
     every = {(i, j): (x ^ y).bit_count() for i, x in new.items() for j, y in library.items()}
     assert {(i, j): near[p] for i, j in every if (p := (of_new.get(i, i), of_library.get(j, j))) in near} == {p: h for p, h in every.items() if h <= 8}
     assert any(h > 4 for h in near.values())
+
+
+def test_photo_events_cover_all_photo_types_and_lineage(spark):
+    from shelfmark.queries.pipeline import photo_events
+
+    at = "2020:01:05 10:00:00"
+    rows = [(1, "RAW", "/x/a.cr2", at), (2, "CAMERA_JPEG", "/x/b.jpg", at), (3, "DEV_JPEG", "/x/c.jpg", at), (4, "HEIC", "/x/d.heic", at), (5, "VIDEO", "/x/e.mp4", at), (6, "RAW", "/ev/two/f.cr2", at), (7, "RAW", "/x/g.cr2", "2021:01:01 00:00:00"), (8, "HEIC", "/ev/two/h.heic", None)]
+    files = spark.createDataFrame(rows, "file_id long, file_type string, path string, datetime_original string")
+    overrides = spark.createDataFrame([("/ev/one", "2020-01-01"), ("/ev/two", "2019-06-01"), ("/ev/three", None)], "source_folder string, date_override string")
+    assert {(r.file_id, r.dir) for r in photo_events(files, overrides).collect()} == {(i, "/ev/one") for i in (1, 2, 3, 4)} | {(6, "/ev/two"), (8, "/ev/two")}
