@@ -370,3 +370,11 @@ def test_long_texts_try_every_pair_that_could_pay(labeller):
     assert len(labeller.candidates(sound.join(bad for bad, _ in parts))) > 4
     assert fixed == sound.join(t for _, t in parts)
     assert len({s for _, _, s in spans}) >= 6
+
+
+def test_the_model_keeps_every_neighbour(spark):
+    han = [chr(0x4E00 + i) for i in range(700)]
+    pairs = [a + b for a in han for b in han]
+    texts = [(" ".join(pairs[i : i + 7000]),) for i in range(0, len(pairs), 7000)]
+    model, _ = garble._count(spark.createDataFrame(texts, "t string"), None)
+    assert len(pairs) > 450_000 and all(model.twos.get(p) == 1 for p in pairs)
