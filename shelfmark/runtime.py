@@ -10,12 +10,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator may broadcast or turn into literals.
 BROADCAST_ROWS = 100_000
+#: A key is hot if it holds more than one in HOT_KEYS of the rows (so there are fewer than that), and more than HOT_ROWS rows.
+HOT_KEYS, HOT_ROWS = 10_000, 100_000
 
 
 def build_session(app: str = "shelfmark", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -34,16 +40,19 @@ def build_session(app: str = "shelfmark", cores: str | int = "*", shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is set.
+    """The cluster's shared folder, or a temporary one in local mode.
 
-    ``spark.checkpoint.dir`` is read from the session; a local folder is made
-    only when neither the setting nor the context's checkpoint folder exists.
+    ``spark.checkpoint.dir`` is read from the session. A temporary folder is
+    made only when neither the setting nor the context's checkpoint folder
+    exists and everything runs in this process; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = option.get() if option.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
         named = tempfile.mkdtemp(prefix="shelfmark-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -63,9 +72,26 @@ def write_scratch(df: DataFrame, label: str, by: list[str] | None = None) -> tup
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
+    for made in getattr(_SCOPES, "open", [])[-1:]:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are written inside are deleted at the end: for jobs
+    that consume their result before they go on, such as batches of a stream."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield
+    finally:
+        *_SCOPES.open, made = _SCOPES.open
+        drop_scratch(spark, *made)
+
+
 def drop_scratch(spark: SparkSession, *paths: str | None) -> None:
     """Delete scratch tables that no live frame reads any more."""
     jvm = spark._jvm
@@ -75,6 +101,32 @@ def drop_scratch(spark: SparkSession, *paths: str | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key at most, so that no
+    task gets a hot key of ``rows``: the rows of ``side`` for hot keys, fewer
+    than HOT_KEYS, are broadcast, and only the other keys are shuffled. ``how``
+    is inner, left, left_semi or left_anti; a null key matches nothing.
+
+    The keys are counted first, with partial counts in each task, unless
+    ``total`` says that the table is too small for hot keys.
+    """
+    if total is not None and total <= HOT_ROWS:
+        return rows.join(side, key, how)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    counts, path = write_scratch(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
+    if total is None:
+        total = rows.count()
+    hot = counts.where((F.col("_n") * HOT_KEYS > total) & F.col(key).isNotNull()).select(key)
+    if not hot.limit(1).count():
+        drop_scratch(rows.sparkSession, path)
+        return rows.join(side, key, how)
+    wide = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marked = rows.join(wide, key, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(side, key, how)
+    few = side.join(F.broadcast(hot), key, "left_semi")
+    return marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how).unionByName(rest)
+
+
 def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 

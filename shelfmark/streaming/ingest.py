@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from shelfmark.runtime import scratch_scope
+
 
 def new_rows(spark: SparkSession, folder: str, schema: StructType, files_at_once: int = 1000) -> DataFrame:
     """A stream of the Parquet files that arrive in ``folder``; its checkpoint
@@ -21,7 +23,8 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], out
     batch that is run again replaces itself, so every row is written once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        handle(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch_scope(batch.sparkSession):
+            handle(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions.timestamps import ZONE_MINUTES, normalise_timestamps, utc_micros
+from shelfmark.operators import hotkeys
 from shelfmark.operators.hotkeys import key_profiles
+from shelfmark import runtime
 from shelfmark.runtime import table
 
 KEYS = {"k": "a", "m": "b"}
@@ -21,7 +23,21 @@ def profiles(df, share=0.0):
     return key_profiles(df, {n: F.col(c) for n, c in KEYS.items()}, F.col("v"), F.col("t"), share)
 
 
-def test_quantiles_are_exact_with_a_hot_key(spark):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_quantiles_are_exact_with_a_hot_key(spark, monkeypatch, shuffled):
+    moved = []
+    if shuffled:  # the path of more keys than may be broadcast: the values of the hot key are never joined by shuffle
+        monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(hotkeys, "HOT_ROWS", 500)
+        write = hotkeys.write_scratch
+
+        def watched(df, label, by=None):
+            out, path = write(df, label, by)
+            if label == "value-counts" and by is None:
+                moved.extend(r.key_value for r in out.select("key_value").distinct().collect())
+            return out, path
+
+        monkeypatch.setattr(hotkeys, "write_scratch", watched)
     rng = random.Random(3)
     rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(40)}", rng.choice(["x", None, "y"]), rng.choice([None, rng.randrange(-(10**6), 10**12)]), f"t{rng.randrange(99):02}") for i in range(3000)]
     got = {(r.field_name, r.key_value): r for r in profiles(spark.createDataFrame(rows, "a string, b string, v long, t string")).collect()}
@@ -35,10 +51,33 @@ def test_quantiles_are_exact_with_a_hot_key(spark):
         r, values = got[key], sorted(v for v, _ in vs if v is not None)
         assert (r.row_count, r.value_count, r.total_value or 0) == (len(vs), len(values), sum(values))
         assert (r.first_stamp, r.last_stamp) == (min(t for _, t in vs), max(t for _, t in vs))
+        if shuffled:
+            assert "hot" not in moved and "k0" in moved
         if values:
             assert r.p50_value == values[math.ceil(0.5 * len(values)) - 1] and r.p90_value == values[math.ceil(0.9 * len(values)) - 1]
 
 
+@pytest.mark.parametrize("total", [None, 1000, 3000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_join_equals_a_join(spark, monkeypatch, how, total):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2000 if total == 1000 else 100)
+    rows = spark.createDataFrame([(i % 9 if i % 3 else 100, i) for i in range(3000)] + [(None, -1)] * 5, "k long, x long")
+    side = spark.createDataFrame([(k, k * 2) for k in (0, 1, 4, 7, 100, 500)], "k long, y long")
+    plain, got = rows.join(side, "k", how), runtime.hot_join(rows, side, "k", how, total)
+    assert got.columns == plain.columns and got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    if total != 1000:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and "broadcast" in plan
+
+
+def test_scratch_of_a_scope_is_dropped(spark):
+    with runtime.scratch_scope(spark):
+        df, path = runtime.write_scratch(spark.range(3), "x")
+        assert df.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_profile_edges(spark):
     schema = "a string, b string, v long, t string, n long, value long, field_name string"
     assert profiles(spark.createDataFrame([], schema)).count() == 0
