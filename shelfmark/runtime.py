@@ -101,27 +101,30 @@ def drop_scratch(spark: SparkSession, *paths: str | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
-    """``rows`` joined with ``side``, which has one row a key at most, so that no
-    task gets a hot key of ``rows``: the rows of ``side`` for hot keys, fewer
-    than HOT_KEYS, are broadcast, and only the other keys are shuffled. ``how``
-    is inner, left, left_semi or left_anti; a null key matches nothing.
-
-    The keys are counted first, with partial counts in each task, unless
-    ``total`` says that the table is too small for hot keys.
-    """
-    if total is not None and total <= HOT_ROWS:
-        return rows.join(side, key, how)
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    counts, path = write_scratch(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
+def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
+    """(key): the hot keys of ``rows``, fewer than HOT_KEYS; None if there are
+    none, which ``total`` rows may show without counting."""
     if total is None:
         total = rows.count()
-    hot = counts.where((F.col("_n") * HOT_KEYS > total) & F.col(key).isNotNull()).select(key)
-    if not hot.limit(1).count():
-        drop_scratch(rows.sparkSession, path)
+    if total <= HOT_ROWS:
+        return None
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot, path = write_scratch(counts.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(key), "hot-keys")
+    if hot.limit(1).count():
+        return hot
+    drop_scratch(rows.sparkSession, path)
+    return None
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key at most, so that no
+    task gets a hot key of ``rows``: the rows of ``side`` for the keys of
+    ``hot``, fewer than HOT_KEYS, are broadcast, and only the other keys are
+    shuffled. ``how`` is inner, left, left_semi or left_anti; a null key matches nothing."""
+    if hot is None:
         return rows.join(side, key, how)
-    wide = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    marked = rows.join(wide, key, "left")
+    hot = hot.toDF(key)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     rest = marked.where("_hot is null").drop("_hot").join(side, key, how)
     few = side.join(F.broadcast(hot), key, "left_semi")
     return marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how).unionByName(rest)

@@ -63,7 +63,7 @@ def test_hot_join_equals_a_join(spark, monkeypatch, how, total):
     monkeypatch.setattr(runtime, "HOT_ROWS", 2000 if total == 1000 else 100)
     rows = spark.createDataFrame([(i % 9 if i % 3 else 100, i) for i in range(3000)] + [(None, -1)] * 5, "k long, x long")
     side = spark.createDataFrame([(k, k * 2) for k in (0, 1, 4, 7, 100, 500)], "k long, y long")
-    plain, got = rows.join(side, "k", how), runtime.hot_join(rows, side, "k", how, total)
+    plain, got = rows.join(side, "k", how), runtime.hot_join(rows, side, "k", how, runtime.hot_keys(rows, "k", total))
     assert got.columns == plain.columns and got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
     if total != 1000:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
