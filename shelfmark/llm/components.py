@@ -3,8 +3,9 @@
 Each level grows clusters from exponentially shifted start times, contracts
 every cluster to one super-vertex, keeps only the edges between clusters and
 recurses on them; at the end the assignments of all levels are composed. The
-number of edges falls geometrically with the levels, and a cluster grows a few
-steps at most, so the jobs follow the logarithm of the longest chain.
+number of edges falls geometrically with the levels, and a cluster grows for
+O(log n / RATE) steps, so the jobs follow the square of the logarithm even on
+long chains.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import drop_scratch, write_scratch
+from shelfmark.runtime import drop_scratch, hot_join, hot_keys, write_scratch
 
-#: Rate of the exponential start shifts. An edge is cut with a probability of at most 1 - exp(-RATE).
-RATE = 0.05
-#: Steps that clusters may grow in one level. The cap bounds the jobs of a level on long chains; it only moves edges to the next level.
-STEPS = 5
-#: Edges of one vertex that one join task is meant to see; a vertex with more is split over salts.
-SALT_EDGES = 100_000
+#: Rate of the exponential start shifts. An edge is cut with a probability of at most 1 - exp(-RATE), so a level leaves
+#: at most 18 % of the edges on average, and no cluster grows for more steps than the largest shift, about ln(n) / RATE.
+RATE = 0.2
+#: Steps of growth between two writes.
+STRIDE = 4
 _SEED = 0x5EED
 
 
@@ -29,41 +29,30 @@ def _uniform(vertex: Column, level: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(vertex, F.lit(_SEED + level)), 11).cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def _decompose(edges: DataFrame, level: int) -> tuple[DataFrame, list[str]]:
-    """(v, c): the cluster of each vertex of symmetric ``edges`` (u, v).
+def _decompose(edges: DataFrame, level: int, hot: DataFrame | None) -> tuple[DataFrame, str]:
+    """(v, c): the cluster of each vertex of symmetric ``edges`` (u, v), loops
+    included: an edge without length from each vertex to itself, which keeps
+    its own label.
 
     Vertex u starts at minus its exponential shift, and its label crosses one
-    edge in one unit of time; every vertex keeps the label that arrives first.
-    A label is (arrival, tie, centre), smaller is better. Only labels that
-    changed in the last step travel on. Members of a cluster are always
-    connected with its centre, so a cluster may be contracted even if the cap
-    of STEPS stopped its growth.
+    edge in one unit of time; every vertex keeps the label that arrives first,
+    and growth goes on until no label changes. A label is (arrival, tie,
+    centre), smaller is better. The labels of hot vertices are sent to the
+    edges, not the edges to them.
     """
     spark = edges.sparkSession
-    degrees = edges.groupBy("u").agg(F.count("*").alias("deg"))
     start = F.struct((F.log(_uniform(F.col("u"), level)) / RATE).alias("at"), F.xxhash64("u", F.lit(level)).alias("tie"), F.col("u").alias("c"))
-    labels = degrees.select("u", start.alias("best"), F.ceil(F.col("deg") / SALT_EDGES).cast("int").alias("salts"), F.lit(True).alias("fresh"))
-    labels, path = write_scratch(labels, f"ldd-labels-{level}")
-    first = path
-    hot = labels.where("salts > 1").select(F.col("u").alias("h"), F.col("salts").alias("s"))
-    salted = edges.withColumn("salt", F.lit(0))
-    if hot.limit(1).count():
-        # each hot vertex has more than SALT_EDGES edges, so there are at most |edges| / SALT_EDGES of them
-        salted = edges.join(F.broadcast(hot), F.col("u") == F.col("h"), "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("s", F.lit(1))).cast("int").alias("salt"))
-    for _ in range(STEPS):
-        moving = labels.where("fresh").select("u", "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        arrived = F.struct((F.col("best.at") + 1).alias("at"), F.col("best.tie").alias("tie"), F.col("best.c").alias("c"))
-        sent = salted.join(moving, ["u", "salt"]).select(F.col("v").alias("u"), arrived.alias("best"), F.lit(None).cast("int").alias("salts"), F.lit(None).cast(labels.schema["best"].dataType).alias("had"))
-        held = labels.select("u", "best", "salts", F.col("best").alias("had"))
-        merged = held.unionByName(sent).groupBy("u").agg(F.min("best").alias("best"), F.max("salts").alias("salts"), F.max("had").alias("had"))
-        labels, following = write_scratch(merged.select("u", "best", "salts", (F.col("best") != F.col("had")).alias("fresh")), f"ldd-labels-{level}")
-        if path != first:  # the hot vertices are read from the first labels
-            drop_scratch(spark, path)
-        path = following
-        if not labels.where("fresh").limit(1).count():
-            break
-    drop_scratch(spark, first)
-    return labels.select(F.col("u").alias("v"), F.col("best.c").alias("c")), [path]
+    labels, path = edges.where("u = v").select("u", start.alias("best")), None
+    while True:
+        for _ in range(STRIDE):
+            arrived = F.struct((F.col("best.at") + (F.col("u") != F.col("v")).cast("int")).alias("at"), F.col("best.tie").alias("tie"), F.col("best.c").alias("c"))
+            sent = hot_join(edges, labels, "u", hot=hot).select("v", arrived.alias("best"), F.when(F.col("u") == F.col("v"), F.col("best")).alias("had"))
+            labels = sent.groupBy("v").agg(F.min("best").alias("best"), F.max("had").alias("had")).select(F.col("v").alias("u"), "best", (F.col("best") != F.col("had")).alias("fresh"))
+        labels, following = write_scratch(labels, f"ldd-labels-{level}")
+        drop_scratch(spark, path)
+        path, fresh, labels = following, labels.where("fresh"), labels.drop("fresh")
+        if not fresh.limit(1).count():
+            return labels.select(F.col("u").alias("v"), F.col("best.c").alias("c")), path
 
 
 def connected_groups(pairs: DataFrame, a: str = "file_id_a", b: str = "file_id_b", out: str = "file_id", group: str = "group_id") -> DataFrame:
@@ -75,29 +64,35 @@ def connected_groups(pairs: DataFrame, a: str = "file_id_a", b: str = "file_id_b
     result. All other columns are ignored. Identifiers are 64-bit integers.
     """
     spark = pairs.sparkSession
-    links = pairs.select(F.least(F.col(a), F.col(b)).cast("long").alias("u"), F.greatest(F.col(a), F.col(b)).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    both = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
-    edges, edges_at = write_scratch(links.select(both).select("e.u", "e.v"), "ldd-edges-0")
-    assignments: list[tuple[DataFrame, list[str]]] = []
+    links = pairs.select(F.least(F.col(a), F.col(b)).cast("long").alias("u"), F.greatest(F.col(a), F.col(b)).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    way = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+    symmetric = links.select(F.explode(F.array(way("u", "v"), way("v", "u"), way("u", "u"), way("v", "v"))).alias("e"))
+    edges, edges_at = write_scratch(symmetric.select("e.u", "e.v").distinct(), "ldd-edges-0")
+    size = edges.count()
+    assignments: list[tuple[DataFrame, str, int]] = []
     level = 0
-    while level == 0 or edges.limit(1).count():
-        clusters, paths = _decompose(edges, level)
-        assignments.append((clusters, paths))
+    while level == 0 or size:
+        hot = hot_keys(edges, "u", size)
+        clusters, path = _decompose(edges, level, hot)
+        assignments.append((clusters, path, size))
         left = clusters.select(F.col("v").alias("u"), F.col("c").alias("cu"))
-        between = edges.join(left, "u").join(clusters, "v").where(F.col("cu") != F.col("c"))
-        following, following_at = write_scratch(between.select(F.col("cu").alias("u"), F.col("c").alias("v")).distinct(), f"ldd-edges-{level + 1}")
+        # the edges are symmetric, so those that leave a hot vertex are found by the same broadcast from both ends
+        between = hot_join(hot_join(edges, left, "u", hot=hot), clusters, "v", hot=hot).where(F.col("cu") != F.col("c"))
+        crossing = between.select(F.explode(F.array(way("cu", "c"), way("cu", "cu"))).alias("e")).select("e.u", "e.v").distinct()
+        following, following_at = write_scratch(crossing, f"ldd-edges-{level + 1}")
         drop_scratch(spark, edges_at)
         edges, edges_at, level = following, following_at, level + 1
+        size = edges.count()
     drop_scratch(spark, edges_at)
     # compose from the last level down: a super-vertex that no edge left is its own root
-    root, stale = assignments[-1]
-    for clusters, paths in reversed(assignments[:-1]):
+    root, stale, _ = assignments[-1]
+    for clusters, path, n in reversed(assignments[:-1]):
         upper = root.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        composed, path = write_scratch(clusters.join(upper, "c", "left").select("v", F.coalesce("r", "c").alias("c")), "ldd-root")
-        drop_scratch(spark, *stale, *paths)
-        root, stale = composed, [path]
+        composed, composed_at = write_scratch(hot_join(clusters, upper, "c", "left", hot_keys(clusters, "c", n)).select("v", F.coalesce("r", "c").alias("c")), "ldd-root")
+        drop_scratch(spark, stale, path)
+        root, stale = composed, composed_at
     smallest = root.groupBy("c").agg(F.min("v").alias(group))
-    return root.join(smallest, "c").select(F.col("v").alias(out), group)
+    return hot_join(root, smallest, "c", hot=hot_keys(root, "c", assignments[0][2])).select(F.col("v").alias(out), group)
 
 
 def counted_links(duplicates: DataFrame, max_distance: int = 2) -> DataFrame:

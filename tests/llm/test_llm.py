@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.hashes import valid_hex
 from shelfmark.llm import cells, components, fusion, garble, mixing, neighbours, tokens
+from shelfmark import runtime
 from shelfmark.runtime import table
 
 DUPES = "dup_id long, file_id_a long, file_id_b long, dup_type string, hamming_distance int, keep_file_id long, status string, resolved_at string, u long, c string, group_id long"
@@ -42,9 +43,9 @@ def union_find(edges):
 # groups
 
 
-@pytest.mark.parametrize("salt", [100_000, 20])
-def test_groups_of_chains_stars_and_random_links(spark, monkeypatch, salt):
-    monkeypatch.setattr(components, "SALT_EDGES", salt)
+@pytest.mark.parametrize("hot", [100_000, 20])
+def test_groups_of_chains_stars_and_random_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(runtime, "HOT_ROWS", hot)  # the star is a hot vertex, and its group a hot centre
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(1, 300)] + [(5000, x) for x in range(5001, 5200)] + [(rng.randrange(7000, 7400), rng.randrange(7000, 7400)) for _ in range(260)]
     edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges if a != b]
