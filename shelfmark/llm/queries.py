@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm import cells, components, fusion, garble, mixing, neighbours, tokens
 from shelfmark.runtime import table
@@ -15,11 +16,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field by its maximum posterior; maps and lists as texts."""
     return fusion.golden_records(*(table(spark, sf_dir, t) for t in ("files", "duplicates", "known_cameras", "scan_roots")))
 
 
+def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivor with its own values, and the fused ones only where it has none."""
+    g = p2_golden(spark, sf_dir)
+    return g.select("group_id", "keep_file_id", *[F.coalesce(F.col("own")[n], F.col(n)).alias(n) for n in fusion.FIELDS], "filled")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_golden(spark, sf_dir).select("group_id", "keep_file_id")
+    """Decisions and ranking alone name the survivor; its values take no part in that."""
+    files, duplicates, cameras = (table(spark, sf_dir, t) for t in ("files", "duplicates", "known_cameras"))
+    return fusion.survivors(fusion.duplicate_groups(duplicates), duplicates, files, cameras).select("group_id", "keep_file_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_golden": p2_golden,
+    "p2_filled": p2_filled,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
