@@ -101,6 +101,11 @@ def drop_scratch(spark: SparkSession, *paths: str | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
     """(key): the hot keys of ``rows``, fewer than HOT_KEYS; None if there are
     none, which ``total`` rows may show without counting."""
