@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint is cut into blocks; the value of one block names a cell, so
 each vector lies in one cell for each block, and its distance to any member of a
-cell is at least the bits in which its block differs from the cell. Two vectors
-within ``radius`` differ, in some block i, in at most ``reach[i]`` bits, so the
-cells at these bounds hold every match and no other cell can. Cells keep the
-full vectors; the exact distance decides. Batches are appended as new files.
+cell is at least the bits in which its block differs from the cell. A batch
+probes cells in the order of these bounds: once all cells within ``reach[i]``
+bits in block i are seen, nothing unseen is nearer than the sum of
+``reach[i]`` + 1, and a query whose best match is nearer stops. Cells keep the
+full vectors; the exact distance decides. Batches are appended as new files, and
+a small batch reads the pages of the cells that it probes.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.hashes import hamming
-from shelfmark.runtime import BROADCAST_ROWS, scratch_path, write_scratch
+from shelfmark.functions.hashes import hamming, hex_to_long, valid_hex
+from shelfmark.runtime import BROADCAST_ROWS, drop_scratch, exists, hot_join, hot_keys, scratch_path, scratch_scope, write_scratch
 
 #: Bits of a block and the number of blocks.
 BLOCK, BLOCKS = 16, 4
-#: Files that one block's cells are spread over, by their leading bits; a small batch reads only those it probes.
-ZONES = 8
+#: Files that one block's cells are spread over, by their leading bits, and files of the records by value; a batch reads only those it needs.
+ZONES, SLOTS = 8, 16
+#: Rows of a page of the cells, the least that is read.
+PAGE = 256
+#: Distinct cells, keys or values that are named in a filter of the scan, so that only their pages are read.
+NAMED = 1000
 #: Vectors of one cell above which the cell is divided by a second block.
 HOT_CELL = 4096
 
@@ -73,74 +79,104 @@ def _first_block(a: Column, b: Column, reach: list[int]) -> Column:
     return reduce(lambda rest, i: F.when(apart(i) <= reach[i], F.lit(i)).otherwise(rest), [i for i in reversed(range(len(reach))) if reach[i] >= 0], F.lit(-1))
 
 
+def _slot(col: Column) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int")
+
+
 class CellIndex:
-    """Accepted records on disk: cells of full vectors, and members by exact value.
+    """Records on disk by status: cells of full vectors, and records by key and by value.
 
-    Layout under ``path``: cells/batch=/zone= (cell, key), sizes/batch= (cell, n),
-    members/batch= (key, id) and exact/batch= (value, id). A batch that is written again replaces
-    itself, so a repeated or restarted append changes nothing.
+    Layout under ``path``, each with status= and batch= folders: cells/zone=
+    (cell, key), sizes (cell, n), members/slot= (key, id), exact/slot= (value,
+    id). All are sorted, in small pages. A batch that is written again replaces
+    itself, so a repeated or restarted append changes nothing. A path that
+    exists is gone on with.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, radius: int = 6):
         self.spark, self.path, self.radius = spark, path or scratch_path(spark, "cells"), radius
-        self.reach = reaches(radius)
-        self.blocks = [i for i, r in enumerate(self.reach) if r >= 0]
+        self.blocks = [i for i, r in enumerate(reaches(radius)) if r >= 0]
 
-    def append(self, rows: DataFrame, batch: str) -> None:
-        """Add accepted ``rows`` (id, key, value); null keys and values are left out."""
-        keyed = rows.where(F.col("key").isNotNull()).select("key", "id")
-        cells = _homes(keyed.select("key").distinct(), self.blocks).withColumn("zone", _zone(F.col("cell")))
-        cells.repartition("zone").sortWithinPartitions("zone", "cell").write.mode("overwrite").partitionBy("zone").parquet(f"{self.path}/cells/batch={batch}")
-        added = self._read("cells", "cell int, key long, batch string, zone int").where(F.col("batch") == batch)
-        added.groupBy("cell").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/sizes/batch={batch}")
-        keyed.write.mode("overwrite").parquet(f"{self.path}/members/batch={batch}")
-        rows.where(F.col("value").isNotNull()).select("value", "id").write.mode("overwrite").parquet(f"{self.path}/exact/batch={batch}")
+    def append(self, rows: DataFrame, batch: str, status: str = "accepted") -> None:
+        """Add ``rows`` (id, key, value); null keys and values are left out."""
+        at = f"status={status}/batch={batch}"
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
+        def write(df: DataFrame, part: str, by: str, order: str) -> None:
+            writer = df.repartition(by).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by)
+            writer.option("parquet.page.row.count.limit", PAGE).parquet(f"{self.path}/{part}/{at}")
 
-    def near_keys(self, batch: DataFrame) -> DataFrame:
-        """(key_new, key_old): distinct keys of ``batch`` and of the index within the radius.
+        keyed = rows.where(F.col("key").isNotNull()).select("key", "id")
+        cells = _homes(keyed.select("key").distinct(), self.blocks).withColumn("zone", _zone(F.col("cell")))
+        write(cells, "cells", "zone", "cell")
+        added = self._read("cells", "cell int, key long", "zone", status).where(F.col("batch") == batch)
+        added.groupBy("cell").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/sizes/{at}")
+        write(keyed.withColumn("slot", _slot(F.col("key"))), "members", "slot", "key")
+        write(rows.where(F.col("value").isNotNull()).select("value", "id", _slot(F.col("value")).alias("slot")), "exact", "slot", "value")
+
+    def _read(self, part: str, schema: str, by: str | None, status: str) -> DataFrame:
+        whole = f"{schema}, status string, batch string" + (f", {by} int" if by else "")
+        if not exists(self.spark, f"{self.path}/{part}/status={status}"):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}/status={status}")
+
+    def _named(self, part: str, schema: str, by: str, status: str, column: str, wanted: DataFrame, place: Column) -> DataFrame:
+        """Rows of a part whose ``column`` may be among ``wanted``: the folders
+        that hold any, and of these only the pages of the values if they are few."""
+        rows = self._read(part, schema, by, status)
+        few = wanted.select(column).distinct().limit(NAMED + 1)
+        values, _ = write_scratch(few, "wanted")
+        some = [r[0] for r in values.collect()]  # at most NAMED + 1 rows
+        if len(some) > NAMED:
+            folders = [r[0] for r in wanted.select(place.alias("p")).distinct().collect()]  # at most one row a folder
+            return rows.where(F.col(by).isin(folders))
+        folders = [r[0] for r in values.select(place.alias("p")).distinct().collect()]
+        # single comparisons are pushed into the scan, where a long list would become one range
+        return rows.where(F.col(by).isin(folders) & _any([F.col(column) == v for v in sorted(some)]))
+
+    def near_keys(self, batch: DataFrame, radius: int | None = None, status: str = "accepted") -> DataFrame:
+        """(key_new, key_old, distance): distinct keys of ``batch`` and of the index within the radius.
 
         The sizes of the cells are kept with the index (their number is bounded
         by the blocks). The probes of a small batch are broadcast, so the cells
-        are neither moved nor, in zones that no probe names, read; a large
-        batch, whose probes outnumber the bound, is joined by shuffle.
+        are neither moved nor, where no probe names them, read; a large batch,
+        whose probes outnumber the bound, is joined by shuffle.
         """
+        radius = self.radius if radius is None else radius
+        reach = [r if i in self.blocks else -1 for i, r in enumerate(reaches(radius))]
         keys, _ = write_scratch(batch.where(F.col("key").isNotNull()).select("key").distinct(), "new-keys")
-        per_key = sum(len(_masks(r)) for r in self.reach if r >= 0)
-        small = keys.count() * per_key <= BROADCAST_ROWS
-        cells = self._read("cells", "cell int, key long, batch string, zone int").select("cell", "key", "zone")
-        sizes = self._read("sizes", "cell int, n long, batch string").groupBy("cell").agg(F.sum("n").alias("n"))
+        small = keys.count() * sum(len(_masks(r)) for r in reach if r >= 0) <= BROADCAST_ROWS
+        probes = _probes(keys, reach).select("cell", F.col("key").alias("q"))
+        if small:
+            probes, _ = write_scratch(probes, "probes")
+            cells = self._named("cells", "cell int, key long", "zone", status, "cell", probes, _zone(F.col("cell")))
+        else:
+            cells = self._read("cells", "cell int, key long", "zone", status)
+        sizes = self._read("sizes", "cell int, n long", None, status).groupBy("cell").agg(F.sum("n").alias("n"))
         hot, _ = write_scratch(sizes.where(F.col("n") > HOT_CELL).select("cell"), "hot-cells")
-        probes = _probes(keys, self.reach).select("cell", F.col("key").alias("q"))
         some_hot = hot.limit(1).count() > 0
-        calm_probes = probes
+        calm_probes, calm = probes, cells
         if some_hot:
             # a hot cell holds more than HOT_CELL of the vectors, so there are few; beyond the bound they are joined by shuffle
             side = F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot
-            calm_probes = probes.join(side, "cell", "left_anti")
-        if small:
-            met = cells.join(F.broadcast(calm_probes.withColumn("zone", _zone(F.col("cell")))), ["zone", "cell"])
-        else:
-            calm = cells.join(side, "cell", "left_anti") if some_hot else cells
-            met = calm_probes.join(calm.select("cell", "key").hint("shuffle_hash"), "cell")
-        found = self._verified(met)
+            calm_probes, calm = probes.join(side, "cell", "left_anti"), cells.join(side, "cell", "left_anti")
+        met = calm.join(F.broadcast(calm_probes), "cell") if small else calm_probes.join(calm.select("cell", "key"), "cell")
+        found = self._verified(met, reach, radius)
         if some_hot:
-            found = found.unionByName(self._inside_hot(probes.join(side, "cell", "left_semi"), cells.join(side, "cell", "left_semi")))
+            found = found.unionByName(self._inside_hot(probes.join(side, "cell", "left_semi"), cells.join(side, "cell", "left_semi"), reach, radius))
         # a key that was appended more than once lies in its cells as often
-        return found.select(F.col("q").alias("key_new"), F.col("key").alias("key_old")).distinct()
+        return found.select(F.col("q").alias("key_new"), F.col("key").alias("key_old"), hamming(F.col("q"), F.col("key")).alias("distance")).distinct()
 
-    def _verified(self, met: DataFrame) -> DataFrame:
-        first = _first_block(F.col("q"), F.col("key"), self.reach)
-        return met.where((hamming(F.col("q"), F.col("key")) <= self.radius) & (F.shiftright("cell", BLOCK) == first)).select("q", "key", "cell")
+    @staticmethod
+    def _verified(met: DataFrame, reach: list[int], radius: int) -> DataFrame:
+        first = _first_block(F.col("q"), F.col("key"), reach)
+        return met.where((hamming(F.col("q"), F.col("key")) <= radius) & (F.shiftright("cell", BLOCK) == first)).select("q", "key", "cell")
 
-    def _inside_hot(self, probes: DataFrame, cells: DataFrame) -> DataFrame:
+    def _inside_hot(self, probes: DataFrame, cells: DataFrame, reach: list[int], radius: int) -> DataFrame:
         """Hot cells are divided by the other blocks, again with exact reaches:
         the pair still differs in at most ``radius`` bits over those blocks."""
-        inner = reaches(self.radius, BLOCKS - 1)
+        inner = reaches(radius, BLOCKS - 1)
         out = []
-        for block in self.blocks:
+        for block in [i for i, r in enumerate(reach) if r >= 0]:
             rest = [i for i in range(BLOCKS) if i != block]
             mine = F.shiftright("cell", BLOCK) == block
             for i, r in zip(rest, inner):
@@ -152,22 +188,58 @@ class CellIndex:
                 met = left.join(right, ["cell", "sub"])
                 for j, s in earlier:  # reported from the first of the inner blocks only
                     met = met.where(F.bit_count(_block(F.col("q").bitwiseXOR(F.col("key")), j)) > s)
-                out.append(self._verified(met))
+                out.append(self._verified(met, reach, radius))
         return reduce(DataFrame.unionByName, out)
 
-    def match(self, batch: DataFrame) -> DataFrame:
-        """(id_new, id_old): pairs of a row of ``batch`` (id, key, value) and an
-        accepted record with equal value, or keys within the radius. Each pair
-        once; a record is never paired with its own id. Null keys and values
-        match nothing."""
-        members = self._read("members", "key long, id long, batch string").select(F.col("key").alias("key_old"), F.col("id").alias("id_old"))
-        exact = self._read("exact", "value string, id long, batch string").select("value", F.col("id").alias("id_old"))
-        near, _ = write_scratch(self.near_keys(batch), "near-keys")
+    def _members(self, near: DataFrame, status: str) -> DataFrame:
+        wanted = near.select(F.col("key_old").alias("key"))
+        return self._named("members", "key long, id long", "slot", status, "key", wanted, _slot(F.col("key"))).select(F.col("key").alias("key_old"), F.col("id").alias("id_old"))
+
+    def match(self, batch: DataFrame, status: str = "accepted") -> DataFrame:
+        """(id_new, id_old): pairs of a row of ``batch`` (id, key, value) and a
+        record of the index with equal value, or keys within the radius. Each
+        pair once; a record is never paired with its own id. Null keys and
+        values match nothing."""
+        near, _ = write_scratch(self.near_keys(batch, status=status), "near-keys")
         new = batch.select(F.col("id").alias("id_new"), F.col("key").alias("key_new"), "value")
-        by_key = new.where("key_new is not null").join(near, "key_new").join(members, "key_old").select("id_new", "id_old")
-        by_value = new.where("value is not null").join(exact, "value").select("id_new", "id_old")
+        by_key = new.where("key_new is not null").join(near, "key_new").join(self._members(near, status), "key_old").select("id_new", "id_old")
+        valued = new.where("value is not null")
+        exact = self._named("exact", "value string, id long", "slot", status, "value", valued, _slot(F.col("value"))).select("value", F.col("id").alias("id_old"))
+        by_value = valued.join(exact, "value").select("id_new", "id_old")
         return by_key.unionByName(by_value).where("id_new <> id_old").distinct()
 
+    def nearest(self, batch: DataFrame, status: str = "accepted") -> DataFrame:
+        """(id_new, id_old, distance): the nearest record of each row of ``batch``
+        within the radius, the smallest id of equal ones; no row where there is none.
+
+        Cells are probed in rounds of growing bounds. After a round whose cells
+        hold everything within b bits, a query that has a match stops, as
+        nothing unseen can be as near; only the others go on.
+        """
+        keys, path = write_scratch(batch.where(F.col("key").isNotNull()).select("key").distinct(), "open-keys")
+        rounds = []
+        for bound in [*range(BLOCKS - 1, self.radius, BLOCKS), self.radius]:
+            near, _ = write_scratch(self.near_keys(keys, bound, status), "near-keys")
+            best = near.groupBy("key_new").agg(F.min("distance").alias("distance"))
+            found, _ = write_scratch(near.join(best, ["key_new", "distance"]), "nearest")
+            rounds.append(found)
+            rest, rest_at = write_scratch(keys.join(found.select(F.col("key_new").alias("key")).distinct(), "key", "left_anti"), "open-keys")
+            drop_scratch(self.spark, path)
+            keys, path = rest, rest_at
+        near = reduce(DataFrame.unionByName, rounds)
+        near = near.join(self._members(near, status), "key_old").groupBy("key_new", "distance").agg(F.min("id_old").alias("id_old"))
+        new = batch.where("key is not null").select(F.col("id").alias("id_new"), F.col("key").alias("key_new"))
+        return hot_join(new, near, "key_new", hot=hot_keys(new, "key_new")).select("id_new", "id_old", "distance")
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Conditions joined by or, as a balanced tree."""
+    if not conditions:
+        return F.lit(False)
+    while len(conditions) > 1:
+        conditions = [reduce(lambda a, b: a | b, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
+
 
 def without_frequent(rows: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """Null out values of ``columns`` that ``limit`` or more rows hold."""
@@ -180,29 +252,51 @@ def without_frequent(rows: DataFrame, columns: list[str], limit: int) -> DataFra
     return rows
 
 
-def match_new_files(files: DataFrame, radius: int = 6, frequent: int = 8, accepted: str = "done", skipped: tuple[str, ...] = ("error",)) -> DataFrame:
+def matchable(files: DataFrame, frequent: int | None = None) -> DataFrame:
+    """(id, status, batch, key, value) of the rows with a valid hash, written
+    once. A batch is a year of scanned_at (null is a batch of its own). A hash
+    held by ``frequent`` or more rows of ``files`` counts as missing."""
+    text = valid_hex(F.col("phash"), 16)
+    rows = files.select(F.col("file_id").alias("id"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce(F.nullif(F.substring("scanned_at", 1, 4), F.lit("")), F.lit("none")).alias("batch"), F.when(text.isNotNull(), hex_to_long(text)).alias("key"), valid_hex(F.col("sha256"), 64).alias("value"))
+    if frequent:
+        rows = without_frequent(rows, ["key", "value"], frequent)
+    return write_scratch(rows.where(F.col("key").isNotNull() | F.col("value").isNotNull()), "matchable")[0]
+
+
+def match_new_files(files: DataFrame, radius: int = 6, frequent: int = 8, accepted: str = "done", skipped: tuple[str, ...] = ("error",), path: str | None = None) -> DataFrame:
     """(file_id_a, file_id_b), a < b: files not yet accepted against accepted ones.
 
-    Accepted files are appended to a fresh index; the others come as batches, one
-    for each year of scanned_at (null is a batch of its own), and each batch is
-    matched against the index. A sha256 or phash held by ``frequent`` or more
-    rows of ``files`` counts as missing. A null status is not accepted and is
-    matched. Empty tables give an empty result.
+    The index at ``path`` (a scratch table by default) is given the accepted
+    files first. The others come in the order of their batches: each is matched
+    with what is accepted and then appended as pending, so that the index knows
+    every record and no batch is read again. A sha256 or phash held by
+    ``frequent`` or more rows of ``files`` counts as missing. A null status is
+    not accepted and is matched. Empty tables give an empty result.
     """
-    from shelfmark.functions.hashes import hex_to_long, valid_hex
-
     spark = files.sparkSession
-    text = valid_hex(F.col("phash"), 16)
-    rows = files.select(F.col("file_id").alias("id"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce(F.substring("scanned_at", 1, 4), F.lit("")).alias("batch"), F.when(text.isNotNull(), hex_to_long(text)).alias("key"), valid_hex(F.col("sha256"), 64).alias("value"))
-    rows, _ = write_scratch(without_frequent(rows, ["key", "value"], frequent).where(F.col("key").isNotNull() | F.col("value").isNotNull()), "matchable")
-    index = CellIndex(spark, radius=radius)
+    rows = matchable(files, frequent)
+    index = CellIndex(spark, path, radius)
     index.append(rows.where(F.col("status") == accepted).select("id", "key", "value"), "0")
     incoming = rows.where(~F.col("status").isin(accepted, *skipped))
-    found = []
-    for batch in sorted(r.batch for r in incoming.select("batch").distinct().collect()):  # one row a year
-        pairs, _ = write_scratch(index.match(incoming.where(F.col("batch") == batch).select("id", "key", "value")), "matches")
-        found.append(pairs)
-    if not found:
+    out = scratch_path(spark, "matches")
+    batches = sorted(r.batch for r in incoming.select("batch").distinct().collect())  # one row a year
+    for name in batches:
+        batch = incoming.where(F.col("batch") == name).select("id", "key", "value")
+        with scratch_scope(spark):
+            index.match(batch).write.mode("overwrite").parquet(f"{out}/batch={name}")
+            index.append(batch, name, "pending")
+    if not batches:
         return spark.createDataFrame([], "file_id_a long, file_id_b long")
-    pairs = reduce(DataFrame.unionByName, found)
+    pairs = spark.read.schema("id_new long, id_old long").parquet(*[f"{out}/batch={name}" for name in batches])
     return pairs.select(F.least("id_new", "id_old").alias("file_id_a"), F.greatest("id_new", "id_old").alias("file_id_b"))
+
+
+def nearest_accepted(files: DataFrame, radius: int = 6, accepted: str = "done", skipped: tuple[str, ...] = ("error",)) -> DataFrame:
+    """(file_id, nearest_id, distance): for each file not yet accepted the nearest
+    accepted one within ``radius`` bits, of equal ones the smallest id. All
+    hashes take part, however many files hold them."""
+    rows = matchable(files)
+    index = CellIndex(files.sparkSession, None, radius)
+    index.append(rows.where(F.col("status") == accepted).select("id", "key", "value"), "0")
+    found = index.nearest(rows.where(~F.col("status").isin(accepted, *skipped)).select("id", "key", "value"))
+    return found.select(F.col("id_new").alias("file_id"), F.col("id_old").alias("nearest_id"), "distance")

@@ -36,6 +36,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.match_new_files(table(spark, sf_dir, "files"))
 
 
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.nearest_accepted(table(spark, sf_dir, "files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_hashes(table(spark, sf_dir, "files"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_golden": p2_golden,
     "p2_filled": p2_filled,
     "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
@@ -135,6 +140,13 @@ select least(o.file_id, n.file_id) as file_id_a, greatest(o.file_id, n.file_id)
 from old o join new n on bit_count(xor(o.p, n.p)) <= 6
 union
 select least(o.file_id, n.file_id), greatest(o.file_id, n.file_id) from old o join new n on o.s = n.s""",
+    "p3_nearest": f"""with {_HASHED},
+k as (select file_id, status, ('0x' || p)::ubigint as k from hashed where p is not null),
+old as (select k, min(file_id) as file_id from k where status = 'done' group by 1),
+new as (select * from k where status not in ('done', 'error')),
+near as (select n.k, o.file_id, bit_count(xor(n.k, o.k))::int as distance from (select distinct k from new) n join old o on bit_count(xor(n.k, o.k)) <= 6),
+best as (select k, (array_agg(file_id order by distance, file_id))[1] as nearest_id, min(distance) as distance from near group by 1)
+select n.file_id, b.nearest_id, b.distance from new n join best b using (k)""",
     "p5_found": f"""with {_HASHED},
 keys as (select distinct p, ('0x' || p)::ubigint as k from hashed where p is not null),
 near as (

@@ -220,6 +220,64 @@ def test_appended_batches_equal_one(spark, tmp_path):
     assert {tuple(r) for r in more.match(new).collect()} == want and len(want) >= 120
 
 
+def scanned(spark, df):
+    """Rows that the scans of an executed plan gave out."""
+    df.collect()
+    total = 0
+
+    def visit(node):
+        nonlocal total
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if hasattr(node, "plan") and "QueryStage" in name:
+            return visit(node.plan())
+        if "Scan" in name:
+            total += node.metrics().get("numOutputRows").get().value()
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return total
+
+
+def test_small_batches_read_their_cells_only(spark, tmp_path):
+    read = []
+    for n in (4_000, 64_000):
+        index = cells.CellIndex(spark, str(tmp_path / str(n)))
+        index.append(spark.range(n).select("id", F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value")), "0")
+        batch = spark.createDataFrame([(10**9 + i, i) for i in range(2)], "id long, k long").select("id", F.xxhash64("k").bitwiseXOR(F.lit(3)).alias("key"), F.sha2(F.col("k").cast("string"), 256).alias("value"))
+        df = index.match(batch)
+        read.append(scanned(spark, df))
+        assert {tuple(r) for r in df.collect()} == {(10**9 + i, i) for i in range(2)}
+        read.append(scanned(spark, index.near_keys(batch)))
+    assert read[2] <= 2 * read[0] + 2000 and read[3] < 4 * 64_000 / 3, read
+
+
+@pytest.mark.parametrize("hot,bound", [(4096, 100_000), (3, 0)])
+def test_nearest_matches_brute_force(spark, monkeypatch, hot, bound):
+    monkeypatch.setattr(cells, "HOT_CELL", hot)
+    monkeypatch.setattr(cells, "BROADCAST_ROWS", bound)
+    rng = random.Random(hot)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    keys = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 9))) for _ in range(300)]
+    rows = [file_row(i, status=("done", "hashed", "error")[i % 3], phash=f"{k:016x}" if i % 11 else None) for i, k in enumerate(keys)]
+    old = [(k, i) for i, k in enumerate(keys) if i % 3 == 0 and i % 11]
+    want = {i: min(((k ^ o).bit_count(), j) for o, j in old) for i, k in enumerate(keys) if i % 3 == 1 and i % 11}
+    got = {r.file_id: (r.distance, r.nearest_id) for r in cells.nearest_accepted(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {i: x for i, x in want.items() if x[0] <= 6}
+
+
+def test_an_index_is_gone_on_with(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = [file_row(1, status="done", phash="0" * 16, scanned_at="2020-01-01"), file_row(2, phash="0" * 15 + "1", scanned_at="2021-01-01")]
+    assert [tuple(r) for r in cells.match_new_files(spark.createDataFrame(first, FILES), path=path).collect()] == [(1, 2)]
+    index = cells.CellIndex(spark, path)  # another session finds accepted and pending records
+    new = spark.createDataFrame([(3, 3, None)], "id long, key long, value string")
+    assert [tuple(r) for r in index.match(new).collect()] == [(3, 1)] and [tuple(r) for r in index.match(new, "pending").collect()] == [(3, 2)]
+
+
 def test_matching_edges(spark):
     empty = spark.createDataFrame([], FILES)
     assert cells.match_new_files(empty).count() == 0
