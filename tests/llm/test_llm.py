@@ -480,14 +480,59 @@ def test_long_texts_try_every_pair_that_could_pay(labeller):
     parts = [(western(de.encode("utf-8")), de), (western(ru.encode("cp1251")), ru), (western(el.encode("cp1253")), el), (de.encode("utf-8").decode("cp437"), de), (ru.encode("utf-8").decode("mac_roman"), ru), (ru.encode("koi8_r").decode("cp1251"), ru)]
     sound = " plain words in between, as many as it takes\n"
     fixed, spans = labeller.restore(sound.join(bad for bad, _ in parts))
-    assert len(labeller.candidates(sound.join(bad for bad, _ in parts))) > 4
+    assert len({s for _, _, states in labeller.candidates(sound.join(bad for bad, _ in parts)) for s in states}) > 4
     assert fixed == sound.join(t for _, t in parts)
     assert len({s for _, _, s in spans}) >= 6
 
 
+#: Alphabets that the true encodings of the pairs are tried with.
+SAMPLES = {"[\u0430-\u044f]{3}": ("cp1251", "koi8_r", "cp866", "iso8859-5", "mac_cyrillic", "utf-8"), "[\u03b1-\u03c9]{3}": ("cp1253", "iso8859-7", "cp737", "utf-8"), "[\u0151\u0171\u0142\u0105\u0119\u015b\u017e\u010d\u0159]": ("cp1250", "iso8859-2", "cp852"), "[\u4e00-\u9fff]{3}": ("gb18030", "utf-8"), "[\u3040-\u30ff]{3}": ("cp932", "euc_jp"), "[äöüéèêàçñãõ]": ("western", "cp1252", "cp850", "cp437", "mac_roman", "cp1254", "utf-8")}
+
+
+def test_every_pair_is_found(spark, labeller):
+    import re
+
+    rows = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").distinct().collect() if r.text and 60 < len(r.text) < 400 and not r.text.isascii()]
+    rows = sorted(t for t in rows if not labeller.label(t)[1])
+    tried, found, same, exact = Counter(), Counter(), Counter(), Counter()
+    for i, (true, wrong) in enumerate(garble.PAIRS):
+        for pattern in [p for p, encodings in SAMPLES.items() if true in encodings]:
+            for t in [t for t in rows if len(re.findall(pattern, t)) > 4][:4]:
+                try:
+                    raw = t.encode("cp1252" if true == "western" else true)
+                    raw = western(raw).encode("utf-8") if wrong == "western twice" else raw
+                    bad = western(raw) if wrong.startswith("western") else raw.decode(wrong, "replace" if wrong in garble._MULTI else "strict")
+                except UnicodeError:
+                    continue
+                if bad != t:
+                    fixed, spans = labeller.restore(bad)
+                    tried[i] += 1
+                    found[i] += bool(spans)
+                    exact[i] += (whole := "\ufffd" not in bad and wrong not in garble._MULTI)
+                    same[i] += whole and fixed == t
+    assert len(tried) >= 85 and sum(found.values()) >= 0.97 * sum(tried.values()), {garble.PAIRS[i]: (tried[i], found[i]) for i in tried if found[i] < tried[i]}
+    assert sum(same.values()) >= 0.85 * sum(exact.values())
+
+
+def test_readings_of_several_bytes_begin_and_end_inside_a_run(labeller):
+    zh, more = "这一组照片的哈希值相同", "昨天整理了视频"
+    bad = more.encode("utf-8").decode("gb18030", "replace")
+    fixed, spans = labeller.restore(zh + bad + zh)
+    assert fixed.startswith(zh) and fixed.endswith(zh) and "昨天整理" in fixed and spans
+    # lost bytes cost their characters only
+    greek = "Οι φωτογραφίες από το Ελατοχώρι".encode("utf-8").decode("cp932", "replace")
+    assert "\ufffd" in greek and sum(c in "Οι φωτογραφίες από το Ελατοχώρι" for c in labeller.restore(greek)[0]) > 15
+
+
+def test_seven_readings_in_one_text(labeller):
+    ru, de, el, pl = CLEAN[2], CLEAN[1], CLEAN[3], "Zdjęcia z gór są już posortowane, ale część jest rozmyta, więc usuń łąki."
+    parts = [(western(de.encode("utf-8")), de), (western(ru.encode("cp1251")), ru), (western(el.encode("cp1253")), el), (de.encode("utf-8").decode("cp437"), de), (ru.encode("utf-8").decode("mac_roman"), ru), (ru.encode("koi8_r").decode("cp1251"), ru), (western(pl.encode("utf-8")), pl)]
+    assert labeller.restore(" ".join(bad for bad, _ in parts))[0] == " ".join(t for _, t in parts)
+
+
 def test_the_model_keeps_every_neighbour(spark):
     han = [chr(0x4E00 + i) for i in range(700)]
     pairs = [a + b for a in han for b in han]
     texts = [(" ".join(pairs[i : i + 7000]),) for i in range(0, len(pairs), 7000)]
-    model, _ = garble._count(spark.createDataFrame(texts, "t string"), None)
+    model = garble._counted(garble._pass(spark.createDataFrame(texts, "t string"), None)[0])
     assert len(pairs) > 450_000 and all(model.twos.get(p) == 1 for p in pairs)
