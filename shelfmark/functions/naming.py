@@ -94,6 +94,12 @@ def noncanonical_score(folder: Column) -> Column:
     return reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in NONCANONICAL])
 
 
+def sanitize_camera(model: Column) -> Column:
+    """A camera model as a file name: at most 20 characters, others than letters, digits and _ as _."""
+    clean = F.substring(F.regexp_replace(F.regexp_replace(model, r"(?U)[^\w]", "_"), "^_+|_+$", ""), 1, 20)
+    return F.coalesce(F.nullif(clean, F.lit("")), F.lit("Unknown"))
+
+
 def derivative_root(path: Column) -> Column:
     """The lower-case folder above the first export folder of a path, or null;
     "" if the export folder comes first."""

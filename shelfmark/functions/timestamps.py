@@ -8,12 +8,12 @@ column expression, so it runs inside the JVM.
 from __future__ import annotations
 
 from functools import reduce
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import BROADCAST_ROWS, spread
+from shelfmark.runtime import hot_join, hot_keys, spread
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -105,14 +105,6 @@ def root_zone(path: Column, roots: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(path.startswith(p), F.lit(z)) for p, z in ordered], F.lit(None).cast("string"))
 
 
-def _is_zone(name: str) -> bool:
-    try:
-        ZoneInfo(name)
-        return True
-    except (ZoneInfoNotFoundError, ValueError, OSError):
-        return False
-
-
 def with_root_zone(files: DataFrame, roots: DataFrame, path: str = "path", prefix: str = "path_prefix", zone: str = "time_zone", out: str = "_zone", check: bool = False) -> DataFrame:
     """Add the zone of the longest fitting root. Up to 1,000 roots become one
     expression; more are matched by an equi-join on the prefix texts. Null
@@ -120,15 +112,16 @@ def with_root_zone(files: DataFrame, roots: DataFrame, path: str = "path", prefi
     zone; a path without a root gets null."""
     named = roots.where(F.col(prefix).isNotNull() & F.col(zone).isNotNull())
     if check:
-        zones = [r.z for r in named.select(F.col(zone).alias("z")).distinct().limit(BROADCAST_ROWS).collect()]
-        named = named.where(F.col(zone).isin([z for z in zones if _is_zone(z)]))
+        named = named.where(F.col(zone).isin(sorted(available_timezones())))
     rows = named.groupBy(F.col(prefix).alias("p")).agg(F.min(zone).alias("z"))
     few = [(r.p, r.z) for r in rows.limit(1001).collect()]
     if len(few) <= 1000:
         return files.withColumn(out, root_zone(F.col(path), few))
-    sizes = [r.n for r in rows.select(F.length("p").alias("n")).distinct().limit(BROADCAST_ROWS).collect()]
+    sizes = [r.n for r in rows.select(F.length("p").alias("n")).distinct().collect()]  # lengths of paths
     keyed = files.withColumn("_p", F.explode_outer(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sizes])))
-    best = keyed.join(rows.withColumnRenamed("p", "_p"), "_p").groupBy(path).agg(F.max_by("z", F.length("_p")).alias(out))
+    side = rows.withColumnRenamed("p", "_p")
+    keyed = keyed.where("_p is not null").select(path, "_p")
+    best = hot_join(keyed, side, "_p", hot=hot_keys(keyed.join(side, "_p", "left_semi"), "_p")).groupBy(path).agg(F.max_by("z", F.length("_p")).alias(out))
     return files.join(best, path, "left")
 
 

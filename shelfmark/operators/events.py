@@ -170,16 +170,19 @@ def match_events(rows: DataFrame, events: DataFrame) -> DataFrame:
     One event of the same source folder wins at once; of several, the first that
     holds the day; without any, the first of the same base that holds the day.
     First means the earliest date_lo, then the smaller dir. Rows without a match
-    are left out. The range is joined by day: a range is as long as its folder
-    name says, at most 366 days here, so its days are exploded.
+    are left out. Ranges may be of any length: the distinct days of the rows,
+    which are few, are matched with the ranges of their year, and the rows are
+    joined to the answer of their day.
     """
     lineage = events.select("dir", "date_lo", "date_hi", F.explode("lineage").alias("source"))
     linked = rows.join(lineage, "source")
     n = linked.groupBy("file_id").agg(F.count("*").alias("n"), F.min(F.struct("date_lo", "dir")).alias("one"), F.min(F.when(F.col("day").between(F.col("date_lo"), F.col("date_hi")), F.struct("date_lo", "dir"))).alias("held"))
     by_source = n.select("file_id", F.when(F.col("n") == 1, F.col("one.dir")).otherwise(F.col("held.dir")).alias("dir"))
-    days = events.where("date_lo is not null").select("base", "dir", "date_lo", F.explode(F.sequence("date_lo", F.least("date_hi", F.date_add("date_lo", 365)))).alias("day"))
-    rest = rows.join(n.select("file_id"), "file_id", "left_anti").where("day is not null").join(days, ["base", "day"])
-    by_day = rest.groupBy("file_id").agg(F.min(F.struct("date_lo", "dir")).alias("e")).select("file_id", F.col("e.dir").alias("dir"))
+    ranges = events.where("date_lo <= date_hi").select("base", "dir", "date_lo", "date_hi", F.explode(F.sequence(F.year("date_lo"), F.year("date_hi"))).alias("year"))
+    rest = rows.join(n.select("file_id"), "file_id", "left_anti").where("day is not null")
+    days = rest.select("base", "day").distinct().withColumn("year", F.year("day"))
+    held = days.join(ranges, ["base", "year"]).where(F.col("day").between(F.col("date_lo"), F.col("date_hi"))).groupBy("base", "day").agg(F.min(F.struct("date_lo", "dir")).alias("e"))
+    by_day = rest.join(held, ["base", "day"]).groupBy("file_id").agg(F.min("e").alias("e")).select("file_id", F.col("e.dir").alias("dir"))
     return by_source.where("dir is not null").unionByName(by_day)
 
 

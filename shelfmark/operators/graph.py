@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import drop_scratch, write_scratch
+from shelfmark.runtime import drop_scratch, hot_join, hot_keys, write_scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star operation on edges (u, v) with u > v: each vertex links its
     larger (or smaller) neighbours to its smallest neighbour."""
     if large:
@@ -16,7 +16,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         sides = edges
     least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = sides.join(least, "u")
+    # the root of a large group is a hub: its row is sent to its edges
+    linked = hot_join(sides, least, "u", hot=hot_keys(sides, "u", (1 + large) * total))
     if large:
         linked = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", c
         if before == tuple(tally):
             break
         before = tuple(tally)
-        following, at = write_scratch(_stars(_stars(now, True), False), "star-edges")
+        following, at = write_scratch(_stars(_stars(now, True, before[0]), False, before[0]), "star-edges")
         drop_scratch(spark, path)
         now, path = following, at
     roots = now.select(F.col("v").alias(node)).distinct().withColumn(component, F.col(node))

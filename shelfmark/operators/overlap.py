@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.naming import noncanonical_score
-from shelfmark.functions.paths import ancestors, parts, root_key, separator
+from shelfmark.functions.paths import ancestors, parent, parts, root_key, separator
 from shelfmark.runtime import write_scratch
 
 COVERAGE, MIN_SHARED, UBIQUITOUS = 0.95, 5, 30
@@ -15,11 +15,13 @@ COVERAGE, MIN_SHARED, UBIQUITOUS = 0.95, 5, 30
 def subtree_members(files: DataFrame, roots: DataFrame | None = None, path: str = "path", item: str = "sha256", root: str = "path_prefix") -> DataFrame:
     """(folder, item): distinct items below each folder, up to its scan root.
 
-    The chain of folders above a path is exploded, so membership is an equality
-    and not a prefix comparison; without roots the chain ends below the drive.
+    The chain of folders above a path is exploded, once for each distinct parent
+    folder, so membership is an equality and not a prefix comparison; without
+    roots the chain ends below the drive.
     """
-    rows = files.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), ancestors(F.col(path)).alias("up")).distinct()
-    long = rows.select("item", F.explode("up").alias("folder"))
+    rows = files.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), parent(F.col(path)).alias("home")).where("home is not null").distinct()
+    rows, _ = write_scratch(rows, "items")
+    long = folder_chains(rows.select("home").distinct())
     if roots is not None:
         # roots are a dimension; a folder counts if it is a root or lies below one
         tops = roots.select(root_key(F.col(root)).alias("top")).distinct()
@@ -27,7 +29,12 @@ def subtree_members(files: DataFrame, roots: DataFrame | None = None, path: str
         chain = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts(F.col("k")))), lambda i: F.array_join(F.slice(parts(F.col("k")), 1, i), "\\"))).alias("top"))
         inside = chain.join(tops, "top").select("folder").distinct()
         long = long.join(inside, "folder")
-    return long.select("folder", F.col("item").alias(item)).distinct()
+    return rows.join(long, "home").select("folder", F.col("item").alias(item)).distinct()
+
+
+def folder_chains(homes: DataFrame) -> DataFrame:
+    """(home, folder): each folder with itself and all folders above it below the drive."""
+    return homes.select("home", F.explode(ancestors(F.concat("home", separator(F.col("home")), F.lit("x")))).alias("folder"))
 
 
 def twin_folders(members: DataFrame, item: str = "sha256", coverage: float = COVERAGE, min_shared: int = MIN_SHARED, ubiquitous: int = UBIQUITOUS) -> DataFrame:
@@ -84,10 +91,14 @@ def merge_losers(files: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, Data
     win = F.when(F.col("keeper") == "a", F.col("folder_a")).otherwise(F.col("folder_b"))
     lose = F.when(F.col("keeper") == "a", F.col("folder_b")).otherwise(F.col("folder_a"))
     pairs, _ = write_scratch(decided.select("folder_a", "folder_b", win.alias("win"), lose.alias("lose")).distinct(), "decided")
-    long = files.where("status <> 'error'").select("file_id", "sha256", "status", F.explode(ancestors(F.col("path"))).alias("folder"))
-    kept = long.where("sha256 is not null").join(pairs.select(F.col("win").alias("folder")).distinct(), "folder").groupBy("folder", "sha256").agg(F.min("file_id").alias("keeper"))
-    losing = long.where("status <> 'done'").join(pairs.withColumnRenamed("lose", "folder"), "folder")
+    rows, _ = write_scratch(files.where("status <> 'error'").select("file_id", "sha256", "status", parent(F.col("path")).alias("home")).where("home is not null"), "homes")
+    # decided folders meet distinct parent folders first; a file is read once for each decision above it
+    named = pairs.select(F.explode(F.array("win", "lose")).alias("folder")).distinct()
+    chains, _ = write_scratch(folder_chains(rows.select("home").distinct()).join(named, "folder"), "chains")
+    kept = rows.where("sha256 is not null").join(chains.join(pairs.select(F.col("win").alias("folder")).distinct(), "folder"), "home").groupBy("folder", "sha256").agg(F.min("file_id").alias("keeper"))
+    losing = rows.where("status <> 'done'").join(chains.join(pairs.withColumnRenamed("lose", "folder"), "folder"), "home")
     met = losing.select("folder_a", "folder_b", "win", "file_id", "sha256").join(kept.withColumnRenamed("folder", "win"), ["win", "sha256"], "left")
+    met, _ = write_scratch(met, "merged")
     losers = met.where("keeper is not null").groupBy("file_id").agg(F.min("keeper").alias("keeper"))
     unique = met.groupBy("folder_a", "folder_b").agg(F.count_if(F.col("keeper").isNull()).alias("unique_count"))
     return losers, unique

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashes import hamming
+from shelfmark.runtime import number_rows, write_scratch
 
 #: A fingerprint held by so many files says nothing.
 JUNK = 8
@@ -145,12 +146,14 @@ def junk_keys(rows: DataFrame, key: str, limit: int = JUNK) -> DataFrame:
 def rank_zip(left: DataFrame, right: DataFrame, group: str, name: str, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id): rows of both sides in the same ``group`` matched one
     to one: first those with an equal ``name``, in the order of their ids, then
-    the rest in the order of ids. Rows without a partner, and null groups, are left out."""
-    number = lambda df, keys, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+    the rest in the order of ids. Numbers are counted over ranges, so a hot
+    group is spread. Rows without a partner, and null groups, are left out."""
     l0 = left.where(F.col(group).isNotNull()).select(group, F.coalesce(name, F.lit("")).alias("_n"), left_id)
     r0 = right.where(F.col(group).isNotNull()).select(group, F.coalesce(name, F.lit("")).alias("_n"), right_id)
-    same = number(l0, [group, "_n"], left_id).join(number(r0, [group, "_n"], right_id), [group, "_n", "_r"]).select(left_id, right_id)
-    l1 = l0.join(same.select(left_id), left_id, "left_anti")
-    r1 = r0.join(same.select(right_id), right_id, "left_anti")
-    rest = number(l1, [group], left_id).join(number(r1, [group], right_id).drop("_n"), [group, "_r"]).select(left_id, right_id)
+    both = F.struct(group, "_n").alias("_g")
+    named = number_rows(l0.select("*", both), "_r", left_id, group="_g").join(number_rows(r0.select(both, right_id), "_r", right_id, group="_g"), ["_g", "_r"])
+    same, _ = write_scratch(named.select(left_id, right_id), "same-name")
+    l1 = l0.join(same.select(left_id), left_id, "left_anti").select(group, left_id)
+    r1 = r0.join(same.select(right_id), right_id, "left_anti").select(group, right_id)
+    rest = number_rows(l1, "_r", left_id, group=group).join(number_rows(r1, "_r", right_id, group=group), [group, "_r"]).select(left_id, right_id)
     return same.unionByName(rest)

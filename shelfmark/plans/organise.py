@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import dates, naming
 from shelfmark.functions.classify import DATED_TYPES
 from shelfmark.functions.paths import base_name, parent
 from shelfmark.operators import events, overlap, survivor
-from shelfmark.runtime import spread, write_scratch
+from shelfmark.runtime import number_rows, spread, write_scratch
 
 #: Later reasons replace earlier ones.
 PRIORITY = ("resized_jpeg", "exact_dupe", "near_dupe", "redundant_copy", "folder_merge_loser")
@@ -109,8 +109,9 @@ def build_targets(rows: DataFrame, folders: DataFrame, groups: DataFrame, bases:
     sub = target_folder(base, F.col("eff"), event, F.col("kind"), F.col("start"), F.col("span"), F.col("label"), F.col("ov_event"), F.coalesce("per_day", F.lit(False)))
     sub = F.when(F.col("eff").isNull(), F.when(video, "Videos/NoDate").otherwise("NoDate")).when(video, F.concat_ws("/", sub, F.lit("Videos"))).otherwise(sub)
     placed = joined.select("file_id", "filename", "extension", video.alias("video"), sub.alias("sub"), F.when(F.col("eff").isNull(), "video").otherwise(F.date_format("eff", "yyyy-MM-dd")).alias("day"))
-    number = Window.partitionBy("sub", "day").orderBy("file_id")
-    videos = placed.where("video").withColumn("name", F.format_string("%s_%04d.%s", "day", F.row_number().over(number) - 1, F.upper(F.coalesce(F.nullif("extension", F.lit("")), F.lit("jpg")))))
+    # undated videos share one folder, so the numbers are counted over ranges
+    videos = number_rows(placed.where("video").withColumn("place", F.concat_ws("\0", "sub", "day")), "n", "file_id", group="place")
+    videos = videos.withColumn("name", F.format_string("%s_%04d.%s", "day", F.col("n") - 1, F.upper(F.coalesce(F.nullif("extension", F.lit("")), F.lit("jpg")))))
     named = videos.select("file_id", "sub", "name").unionByName(placed.where("not video").select("file_id", "sub", F.col("filename").alias("name")))
     return named.select("file_id", F.concat_ws("/", F.lit(target), "sub", "name").alias("target_path"))
 
@@ -123,10 +124,12 @@ def plan(files: DataFrame, duplicates: DataFrame, overrides: DataFrame, cameras:
     none. Empty tables give an empty plan.
     """
     # frames that several stages read are written once, which also keeps the plan small
+    unread = ("error_msg", "keywords", "updated_at", "scanned_at", "rating", "software", "gps_lat", "gps_lon", "iso", "duration_seconds", "date_source", "date_confidence")
+    files = files.select(*[c for c in files.columns if c not in unread])  # what no step reads is not written either
     ranked, _ = write_scratch(survivor.with_rank(spread(files), cameras), "ranked")
     staged, _ = write_scratch(stage(ranked, staging_reasons(ranked, duplicates, ranked, overlaps), ranked), "staged")
     live = files.where("status <> 'error'" if include_done else "status not in ('error', 'done')")
-    ladder, _ = write_scratch(date_ladder(spread(files.drop("date_source", "date_confidence")), today, zone), "ladder")
+    ladder, _ = write_scratch(date_ladder(spread(files.drop("sha256", "phash", "key", "size_bytes", "width", "height")), today, zone), "ladder")
     rated, _ = write_scratch(effective_dates(ladder, overrides, events.sibling_hints(ladder)), "rated")
     folders, _ = write_scratch(events.resolve_folders(files, roots, target), "folders")
     own = survivor.own_cameras(cameras)
@@ -155,12 +158,29 @@ def no_event_folders(files: DataFrame) -> DataFrame:
     return rows.where(naming.is_unorganised(base_name(F.col("folder")))).groupBy("folder").agg(F.count("*").alias("files"))
 
 
+_SUFFIX = r"(?<=[^./\\])(\.[^./\\]*)?$"
+
+
 def number_conflicts(plan_rows: DataFrame, taken: DataFrame) -> DataFrame:
     """Target paths made unique: the first file of a path keeps it if it is not
-    among ``taken`` (target_path), the others get _conflict_N before the suffix,
-    in the order of file_id."""
-    order = Window.partitionBy("target_path").orderBy("file_id")
-    used = taken.select("target_path").distinct().withColumn("_taken", F.lit(1))
-    rows = plan_rows.join(used, "target_path", "left").withColumn("_n", F.row_number().over(order) - 1 + F.coalesce("_taken", F.lit(0)))
-    numbered = F.concat(F.regexp_replace("target_path", r"(?<=[^./\\])(\.[^./\\]*)?$", ""), F.lit("_conflict_"), F.col("_n").cast("string"), F.regexp_extract("target_path", r"(?<=[^./\\])(\.[^./\\]*)?$", 1))
-    return rows.withColumn("target_path", F.when(F.col("_n") > 0, numbered).otherwise(F.col("target_path"))).drop("_n", "_taken")
+    among ``taken`` (target_path); the others, in the order of file_id, get the
+    smallest _conflict_N before the suffix that is free. A name is free if it is
+    neither taken nor wanted as it is by a row of the plan.
+
+    The k-th free number of a path is k plus the used numbers that come before
+    it: with the used number u of rank i at u - i, it is the place of k in the
+    order of both, so nothing is listed or tried one by one.
+    """
+    used = taken.select("target_path").where("target_path is not null").distinct()
+    rows = number_rows(plan_rows, "_k", "file_id", group="target_path").join(used.withColumn("_taken", F.lit(1)), "target_path", "left")
+    rows, _ = write_scratch(rows.withColumn("_k", F.col("_k") - 1 + F.coalesce("_taken", F.lit(0))).drop("_taken"), "wanted-targets")
+    late = rows.where("_k > 0")
+    name, tail = F.regexp_replace("target_path", _SUFFIX, ""), F.regexp_extract("target_path", _SUFFIX, 1)
+    number = F.regexp_extract(name, r"_conflict_([1-9][0-9]{0,17})$", 1).try_cast("long")
+    held = used.unionByName(plan_rows.select("target_path")).distinct().select(F.concat(F.regexp_replace(name, r"_conflict_[0-9]+$", ""), tail).alias("target_path"), number.alias("_u")).where("_u is not null").distinct()
+    held = number_rows(held.join(late.select("target_path").distinct(), "target_path", "left_semi"), "_i", "_u", group="target_path")
+    both = late.select("target_path", F.col("_k").alias("_at"), F.lit(0).alias("_kind"), "file_id").unionByName(held.select("target_path", (F.col("_u") - F.col("_i")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(plan_rows.schema["file_id"].dataType).alias("file_id")))
+    placed = number_rows(both, "_n", "_at", "_kind", "file_id", group="target_path").where("_kind = 0").select("target_path", "file_id", "_at", "_n")
+    numbered = F.concat(name, F.lit("_conflict_"), F.col("_n").cast("string"), tail)
+    out = late.join(placed.withColumnRenamed("_at", "_k"), ["target_path", "file_id", "_k"]).withColumn("target_path", numbered)
+    return rows.where("_k = 0").select(*plan_rows.columns).unionByName(out.select(*plan_rows.columns))

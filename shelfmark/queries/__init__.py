@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.queries import general, more, pipeline, reports
+from shelfmark.queries import general, more, pipeline, reports, writeback
 
-MODULES = (general, reports, pipeline, more)
+MODULES = (general, reports, pipeline, more, writeback)
 
 
 def queries() -> dict:

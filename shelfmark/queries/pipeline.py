@@ -10,7 +10,7 @@ from shelfmark.functions.hashes import hex_to_long, valid_hex
 from shelfmark.operators import events, graph, ledger, overlap, pairs, survivor
 from shelfmark.plans import incremental, organise
 from shelfmark.queries.reports import LADDER_SQL, NAME, PARENT, STEM, container_sql, exif_sql, sanitize_sql, today, unorganised_sql
-from shelfmark.runtime import spread, table, write_scratch
+from shelfmark.runtime import number_rows, spread, table, write_scratch
 from shelfmark.streaming import ingest
 
 QUERIES: dict = {}
@@ -162,7 +162,8 @@ def _(files, duplicates, known_cameras):
 @query("w01_keep_rank", f"""with {HASHED}, {RANKED} select file_id, sha256, row_number() over (partition by sha256 order by {ORDER}) as place from ranked where sha256 is not null""")
 def _(files, known_cameras):
     rows = ranking(hashed(files), known_cameras).where("sha256 is not null")
-    return rows.select("file_id", "sha256", F.row_number().over(Window.partitionBy("sha256").orderBy(F.desc("keep_rank"))).alias("place"))
+    order = [(-F.col(f"keep_rank.{c}")) for c in ("area", "size", "own", "event", "short", "first")]
+    return number_rows(rows.select("file_id", "sha256", "keep_rank"), "place", *order, group="sha256").drop("keep_rank")
 
 
 NEAR_LOSERS = """
@@ -328,6 +329,21 @@ def _(files, scan_roots):
     return overlap.merge_losers(hashed(files), _reviewed(files, scan_roots))[1]
 
 
+@query("j14_true_twins", f"with {HASHED}, {MEMBERS}, {_twins_sql(overlap.COVERAGE, overlap.MIN_SHARED)} select * from twins")
+def _(files, scan_roots):
+    return overlap.twin_folders(overlap.subtree_members(hashed(files).where("status <> 'error'"), scan_roots))
+
+
+@query("x09_true_overlaps", f"with {HASHED}, {MEMBERS}, {_twins_sql(overlap.COVERAGE, overlap.MIN_SHARED)}, {_ROLLUP} select * from rolled")
+def _(files, scan_roots):
+    return overlap.folder_overlaps(hashed(files), scan_roots)
+
+
+@query("o03_overlaps_by_shared", f"with {HASHED}, {MEMBERS}, {_twins_sql(0.02, 1)}, {_ROLLUP} select folder_a, folder_b, shared_count, row_number() over (order by shared_count desc, folder_a, folder_b) as place from rolled")
+def _(files, scan_roots):
+    return number_rows(overlap.folder_overlaps(hashed(files), scan_roots, **WEAK).select("folder_a", "folder_b", "shared_count"), "place", -F.col("shared_count"), F.col("folder_a"), F.col("folder_b"))
+
+
 @query("a35_grouped_review", f"with {HASHED}, {MEMBERS}, {_twins_sql(0.02, 1)}, {_ROLLUP} select {PARENT.format('folder_a')} as parent_a, {PARENT.format('folder_b')} as parent_b, count(*) as pairs, sum(shared_count)::bigint as shared, count(*) as pending from rolled group by 1, 2")
 def _(files, scan_roots):
     from shelfmark.operators.reports import grouped_review
@@ -598,14 +614,18 @@ def _(operations, files):
 
 @query("w03_sequence_numbers", f"select file_id, row_number() over (partition by {PARENT.format('path')} order by file_id) - 1 as seq from files where file_type = 'VIDEO'")
 def _(files):
-    order = Window.partitionBy(paths.parent(F.col("path"))).orderBy("file_id")
-    return files.where("file_type = 'VIDEO'").select("file_id", (F.row_number().over(order) - 1).alias("seq"))
+    videos = files.where("file_type = 'VIDEO'").select("file_id", F.coalesce(paths.parent(F.col("path")), F.lit("")).alias("folder"))
+    return number_rows(videos, "n", "file_id", group="folder").select("file_id", (F.col("n") - 1).alias("seq"))
 
 
 @query("w08_conflict_numbers", r"""with p as (select distinct file_id, target_path as raw from operations where target_path is not null and op_type = 'MOVE' and status <> 'done'),
 t as (select distinct target_path as raw, 1 as taken from operations where status = 'done' and target_path is not null),
-n as (select p.*, row_number() over (partition by raw order by file_id) - 1 + coalesce(taken, 0) as k from p left join t using (raw))
-select file_id, case when k > 0 then regexp_replace(raw, '([^./\\])(\.[^./\\]*)?$', '\1') || '_conflict_' || k || regexp_extract(raw, '[^./\\](\.[^./\\]*)?$', 1) else raw end as target_path from n""")
+n as (select p.*, row_number() over (partition by raw order by file_id) - 1 + coalesce(taken, 0) as k from p left join t using (raw)),
+held as (select distinct raw from (select raw from t union all select raw from p)),
+split as (select regexp_replace(raw, '([^./\\])(\.[^./\\]*)?$', '\1') as name, regexp_extract(raw, '[^./\\](\.[^./\\]*)?$', 1) as tail from held),
+used as (select regexp_replace(name, '_conflict_[0-9]+$', '') || tail as raw, list_sort(list(distinct regexp_extract(name, '_conflict_([1-9][0-9]{0,17})$', 1)::bigint)) as us from split where regexp_matches(name, '_conflict_[1-9][0-9]{0,17}$') group by 1),
+m as (select n.*, k + coalesce(len(list_filter(range(1, len(us) + 1), lambda i: us[i] - i < k)), 0) as c from n left join used using (raw))
+select file_id, case when k > 0 then regexp_replace(raw, '([^./\\])(\.[^./\\]*)?$', '\1') || '_conflict_' || c || regexp_extract(raw, '[^./\\](\.[^./\\]*)?$', 1) else raw end as target_path from m""")
 def _(operations):
     rows = operations.where("target_path is not null and op_type = 'MOVE' and status <> 'done'").select("file_id", "target_path").distinct()
     return organise.number_conflicts(rows, operations.where("status = 'done' and target_path is not null")).select("file_id", "target_path")
@@ -628,11 +648,13 @@ def _(events):
 
 
 def x12_plan(spark, sf_dir):
+    """The plan with the folder overlaps of the library reviewed as they are suggested."""
     t = {n: table(spark, sf_dir, n) for n in ("files", "duplicates", "folder_overrides", "known_cameras", "scan_roots")}
-    return organise.plan(hashed(t["files"]), t["duplicates"], t["folder_overrides"], t["known_cameras"], t["scan_roots"], today())
+    return organise.plan(hashed(t["files"]), t["duplicates"], t["folder_overrides"], t["known_cameras"], t["scan_roots"], today(), overlaps=_reviewed(t["files"], t["scan_roots"]))
 
 
 STAGE_SQL = f"""
+{MEMBERS}, {_twins_sql(0.02, 1)}, {_ROLLUP}, {MERGE},
 exact_links as (select file_id_a as a, file_id_b as b from duplicates where dup_type = 'EXACT'), {components_sql('exact_links', 'exact_comp')},
 exact_best as (select c.group_id, r.file_id, first_value(r.file_id) over (partition by c.group_id order by {ORDER}) as keeper from exact_comp c join ranked r using (file_id)),
 reasons as (
@@ -640,6 +662,7 @@ reasons as (
   union all select file_id, 'exact_dupe', keeper, 1, false from exact_best where file_id <> keeper
   union all select file_id, 'near_dupe', keeper, 2, false from near_losers
   union all select file_id, 'redundant_copy', keeper, 3, true from redundant
+  union all select file_id, 'folder_merge_loser', keeper, 4, false from merge_losers
 ),
 chosen as (select file_id, arg_max(reason, p) as stage_reason, (array_agg(dupe_of order by p desc))[1] as dupe_of_file_id, bool_or(safe) as safe from reasons group by 1),
 bytes as (select r.*, c.file_id is not null as staged from ranked r left join chosen c using (file_id) where r.sha256 is not null and not coalesce(c.safe, false)),
@@ -648,9 +671,9 @@ staged as (select file_id, stage_reason, dupe_of_file_id from chosen where file_
 
 
 @query("x13_staged_files", f"with recursive {HASHED}, {RANKED}, {REDUNDANT}, {NEAR_LOSERS}, {STAGE_SQL} select file_id, stage_reason, dupe_of_file_id from staged")
-def _(files, duplicates, known_cameras):
+def _(files, duplicates, known_cameras, scan_roots):
     ranked = ranking(hashed(files), known_cameras)
-    return organise.stage(ranked, organise.staging_reasons(ranked, duplicates, ranked), ranked)
+    return organise.stage(ranked, organise.staging_reasons(ranked, duplicates, ranked, _reviewed(files, scan_roots)), ranked)
 
 
 QUERIES["x12_plan"] = x12_plan

@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that an operator may broadcast or turn into literals.
@@ -135,6 +135,31 @@ def hot_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot
     return marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how).unionByName(rest)
 
 
+def number_rows(rows: DataFrame, out: str, *order: str | Column, group: str | None = None) -> DataFrame:
+    """Add ``out``: 1, 2, ... in ``order``, which should be total; with ``group``
+    inside each group. Rows are sorted in ranges, so neither the whole table nor
+    a hot group lies in one task; what reaches the driver is a count a range."""
+    spark = rows.sparkSession
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    named = rows.select("*", *[b.alias(f"_nr_{i}") for i, b in enumerate(by)])
+    keys = ([F.col(group)] if group else []) + [F.col(f"_nr_{i}") for i in range(len(by))]
+    ranged = named.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed, _ = write_scratch(ranged.select(*rows.columns, F.spark_partition_id().alias("_nr_part"), inside.alias("_nr_at")), "numbered")
+    sizes = sorted((r["_nr_part"], r.n) for r in placed.groupBy("_nr_part").agg(F.count("*").alias("n")).collect())  # one row a range
+    starts, upto = [], 0
+    for p, n in sizes:
+        starts.append((p, upto))
+        upto += n
+    start = F.broadcast(spark.createDataFrame(starts, "_nr_part int, _nr_start long"))
+    numbered = placed.join(start, "_nr_part").withColumn(out, F.col("_nr_start") + F.col("_nr_at") + 1).drop("_nr_part", "_nr_at", "_nr_start")
+    if group is None:
+        return numbered
+    first = numbered.groupBy(group).agg(F.min(out).alias("_nr_first"))
+    joined = hot_join(numbered.where(F.col(group).isNotNull()), first, group, hot=hot_keys(placed, group, upto))
+    return joined.withColumn(out, F.col(out) - F.col("_nr_first") + 1).select(*rows.columns, out)
+
+
 def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def digest(path: str) -> str:
@@ -43,12 +44,18 @@ def move(source: str, target: str) -> tuple[str, str]:
             n += 1
             place = f"{head}_conflict_{n}{tail}"
         except OSError:
-            if not os.path.exists(place):  # another volume or no links: copy, then check
-                shutil.copy2(source, place + ".part")
-                os.rename(place + ".part", place)
-                break
-            n += 1
-            place = f"{head}_conflict_{n}{tail}"
+            # another volume or no links: the name is reserved, filled, and read back before the source goes
+            try:
+                os.close(os.open(place, os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                n += 1
+                place = f"{head}_conflict_{n}{tail}"
+                continue
+            shutil.copy2(source, place)
+            if digest(place) != digest(source):
+                os.unlink(place)
+                raise OSError(f"the copy differs: {place}") from None
+            break
     os.unlink(source)
     return "done", place
 
@@ -88,8 +95,25 @@ def execute(operations: DataFrame) -> DataFrame:
 
 
 def undo(operations: DataFrame) -> DataFrame:
-    """(op_id, status, detail): moves turned round."""
-    return _apply(operations, ["target_path", "source_path"], move)
+    """(op_id, status, detail): moves turned round, the last executed first.
+
+    Moves that touch the same place have to keep their order, so all moves of
+    one file (file_id; without that column every move stands alone) go to one task
+    and are sorted there; an occupied old
+    place is an error and nothing is moved."""
+    key = "file_id" if "file_id" in operations.columns else "op_id"
+    last = [F.desc(c) for c in ("executed_at", "op_id") if c in operations.columns]
+    ordered = operations.repartition(key).sortWithinPartitions(key, *last)
+    return _apply(ordered, ["target_path", "source_path"], move_back)
+
+
+def move_back(source: str, target: str) -> tuple[str, str]:
+    """(outcome, place): done, skipped if the file is gone, error if its old place is taken."""
+    if not os.path.exists(source):
+        return ("done", target) if os.path.exists(target) else ("skipped", "")
+    if os.path.exists(target) and not os.path.samefile(source, target):
+        return "error", f"taken: {target}"
+    return move(source, target)
 
 
 def clone(rows: DataFrame) -> DataFrame:

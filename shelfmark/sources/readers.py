@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import PurePath
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from shelfmark.functions import metadata
 from shelfmark.functions.classify import classify, extension, is_supported
 from shelfmark.functions.paths import base_name
+from shelfmark.runtime import spread
+from shelfmark.sources.fsops import digest
 
 # Folders that a walk leaves out.
 SKIPPED = ("_staging", ".Spotlight-V100", ".Trashes", ".fseventsd")
@@ -42,21 +45,35 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_batches(listing: DataFrame, tool: Callable[[list[str]], dict[str, dict]], batch: int = 200) -> DataFrame:
-    """(path, tags) by a tool that is given ``batch`` paths at once on the
-    executors; a batch that fails gives empty tags."""
+    """(path, tags, error) by a tool that is given ``batch`` paths at once on the
+    executors. A batch that fails gives empty tags and the reason; see
+    :func:`command_tool` for a tool with a time limit."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             paths = list(frame["path"])
             for at in range(0, len(paths), batch):
-                some = paths[at : at + batch]
+                some, error = paths[at : at + batch], None
                 try:
                     found = tool(some)
-                except Exception:  # noqa: BLE001 - one bad batch must not end the scan
-                    found = {}
-                yield pd.DataFrame({"path": some, "tags": [{k: str(v) for k, v in found.get(p, {}).items()} for p in some]})
+                except Exception as e:  # noqa: BLE001 - one bad batch must not end the scan
+                    found, error = {}, f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"path": some, "tags": [{k: str(v) for k, v in found.get(p, {}).items()} for p in some], "error": pd.Series([error] * len(some), dtype=object)})
 
-    return listing.select("path").mapInPandas(run, "path string, tags map<string,string>")
+    return listing.select("path").mapInPandas(run, "path string, tags map<string,string>, error string")
+
+
+def command_tool(command: list[str], seconds: float = 120.0) -> Callable[[list[str]], dict[str, dict]]:
+    """A tool that runs ``command`` with the paths as further arguments and reads
+    a JSON list of objects, each with its SourceFile, from its output."""
+
+    def tool(paths: list[str]) -> dict[str, dict]:
+        done = subprocess.run([*command, *paths], capture_output=True, timeout=seconds, check=False)
+        if not done.stdout.strip():
+            raise RuntimeError(done.stderr.decode(errors="replace")[:200] or f"no output, status {done.returncode}")
+        return {r["SourceFile"]: r for r in json.loads(done.stdout) if "SourceFile" in r}
+
+    return tool
 
 
 def file_rows(listing: DataFrame, tags: DataFrame, secondary: bool = False) -> DataFrame:
@@ -80,10 +97,21 @@ def file_rows(listing: DataFrame, tags: DataFrame, secondary: bool = False) -> D
     )
 
 
-def hash_contents(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
-    """(path, sha256) of the listed files below ``root``."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
-    return rows.join(listing.select("path"), "path", "left_semi")
+def hash_contents(listing: DataFrame) -> DataFrame:
+    """(path, sha256) of the listed files, read in blocks where the executors
+    reach them, so a file may be of any size; null if it cannot be read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                try:
+                    found.append(digest(path))
+                except OSError:
+                    found.append(None)
+            yield pd.DataFrame({"path": frame["path"], "sha256": pd.Series(found, dtype=object)})
+
+    return spread(listing.select("path")).mapInPandas(run, "path string, sha256 string")
 
 
 def select_files(files: DataFrame, types: tuple[str, ...] = (), status: str | None = None) -> DataFrame:
@@ -95,7 +123,7 @@ def select_files(files: DataFrame, types: tuple[str, ...] = (), status: str | No
 
 @dataclass
 class Config:
-    """Settings of a library; unknown keys are refused."""
+    """Settings of a library; other keys are ignored."""
 
     db: str
     input_dirs: list[str]

@@ -1,11 +1,14 @@
 """Core operators on small literals, brute-force comparisons and plan checks."""
 
+import datetime
+import hashlib
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import runtime
 from shelfmark.functions import dates, metadata, naming, paths
 from shelfmark.functions.classify import classify
 from shelfmark.functions.hashes import hex_to_long, long_to_hex, valid_hex
@@ -272,10 +275,62 @@ def test_conflict_numbers(spark):
     assert got == {1: "L/a.jpg", 2: "L/a_conflict_1.jpg", 3: "L/b_conflict_1", 4: "L/b_conflict_2"}
 
 
+def test_conflict_numbers_are_the_smallest_free_ones(spark):
+    rng = random.Random(4)
+    names = ["L/a.jpg", "L/b", "L/a_conflict_2.jpg", "L/x.y/c"]
+    wanted = [(i, rng.choice(names)) for i in range(40)]
+    taken = {"L/a.jpg", "L/a_conflict_1.jpg", "L/a_conflict_4.jpg", "L/a_conflict_05.jpg", "L/b_conflict_3", "L/x.y/c_conflict_1", "L/b_conflict_1.jpg"}
+    asked, want, used = {t for _, t in wanted}, {}, set(taken)
+    for t in sorted(asked):
+        files = sorted(i for i, x in wanted if x == t)
+        if t not in taken:
+            want[files.pop(0)] = t
+        head, dot, tail = t.rpartition(".") if "." in t.rsplit("/", 1)[1] else (t, "", "")
+        for i in files:
+            n = 1
+            while (place := f"{head}_conflict_{n}{dot}{tail}") in used | asked:
+                n += 1
+            used.add(place)
+            want[i] = place
+    df = spark.createDataFrame(wanted, "file_id long, target_path string")
+    got = {r.file_id: r.target_path for r in organise.number_conflicts(df, spark.createDataFrame([(t,) for t in taken], "target_path string")).collect()}
+    assert got == want and len(set(got.values())) == 40
+    assert organise.number_conflicts(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_long_ranges_match(spark):
+    day = datetime.date
+    ev = spark.createDataFrame([("long", "b", day(2018, 1, 1), day(2020, 6, 18), []), ("short", "b", day(2019, 5, 1), day(2019, 5, 3), []), ("turned", "b", day(2019, 5, 3), day(2019, 5, 1), [])], "dir string, base string, date_lo date, date_hi date, lineage array<string>")
+    rows = spark.createDataFrame([(1, "", "b", day(2020, 6, 18)), (2, "", "b", day(2019, 5, 2)), (3, "", "b", day(2020, 6, 19)), (4, "", "c", day(2019, 5, 2)), (5, "", "b", None)], "file_id long, source string, base string, day date")
+    assert {r.file_id: r.dir for r in events.match_events(rows, ev).collect()} == {1: "long", 2: "long"}
+
+
+def test_number_rows(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 50)
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), rng.randrange(10**6), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v long, _i long")
+    want, seen = {}, {}
+    for g, v, i in sorted((r for r in rows if r[0]), key=lambda r: (r[1], r[2])):
+        seen[g] = want[i] = seen.get(g, 0) + 1
+    got = runtime.number_rows(df, "n", "v", "_i", group="g")
+    assert got.columns == ["g", "v", "_i", "n"] and {r["_i"]: r.n for r in got.collect()} == want
+    assert [r["_i"] for r in runtime.number_rows(df, "n", -F.col("v"), F.col("_i")).orderBy("n").collect()] == [i for _, _, i in sorted(rows, key=lambda r: (-r[1], r[2]))]
+    assert runtime.number_rows(df.limit(0), "n", "v", group="g").count() == 0
+
+
+def test_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
+    edges = [(1, i) for i in range(2, 200)] + [(i, i + 1) for i in range(300, 340)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 1 for i in range(1, 200)} | {i: 300 for i in range(300, 341)}
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "file_id long, path string, status string")
     new = spark.createDataFrame([(3, "a", "n"), (4, "c", "n"), (5, "c", "m"), (6, None, "k"), (7, None, "k")], "file_id long, path string, status string")
     assert sorted(r.file_id for r in sinks.insert_new(old, new, "path").collect()) == [4, 6, 7]
+    assert {r.file_id: r.status for r in sinks.patch(old, spark.createDataFrame([(2, None)], "file_id long, status string"), "file_id").collect()} == {1: "x", 2: None}
     assert {r.file_id: r.status for r in sinks.patch(old, spark.createDataFrame([(2, "done")], "file_id long, status string"), "file_id").collect()} == {1: "x", 2: "done"}
     with pytest.raises(ValueError):
         sinks.patch(old, spark.createDataFrame([(2, 1)], "file_id long, secret int"), "file_id")
@@ -298,7 +353,10 @@ def test_listing_and_rows(spark, tmp_path):
     tags = readers.extract_batches(listing, lambda ps: {p: {"Model": "X", "ImageWidth": 10} for p in ps}, 1)
     rows = {r.filename: r for r in readers.file_rows(listing, tags).collect()}
     assert rows["IMG_1.jpg"].file_type == "CAMERA_JPEG" and rows["IMG_1.jpg"].width == 10 and rows["100% +c.CR2"].file_type == "RAW"
-    assert readers.hash_contents(spark, listing, str(tmp_path)).count() == 2
+    assert {r.sha256 for r in readers.hash_contents(listing.unionByName(spark.createDataFrame([("/none", 1, None)], listing.schema))).collect()} == {None} | {hashlib.sha256(p.encode()).hexdigest() for p in ("a/IMG_1.jpg", "b/100% +c.CR2")}
+    failed = readers.extract_batches(listing, readers.command_tool(["sh", "-c", "sleep 5"], 0.1)).collect()
+    assert all(r.tags == {} and "Timeout" in r.error for r in failed) and len(failed) == 2
+    assert "RuntimeError" in readers.extract_batches(listing, readers.command_tool(["false"])).first().error
     seen = spark.createDataFrame([(got[0], "scanned")], "path string, status string")
     assert readers.unseen(listing, seen).count() == 1
 
