@@ -439,7 +439,8 @@ def test_other_pairs_and_double_garbling(labeller):
     assert labeller.restore(ru.encode("koi8_r").decode("cp1251"))[0] == ru
     assert labeller.restore(western(el.encode("cp1253")))[0] == el
     assert labeller.restore(western(western(de.encode("utf-8")).encode("cp1252")))[0] == de
-    assert labeller.restore("Gr��e aus K�ln")[1]
+    for lost in ("Gr��e aus K�ln", "The caf� te", "indexed\nMa�ana", "昨天整理了�视频"):
+        assert labeller.restore(lost)[1] and labeller.restore(lost)[0] == lost
     assert labeller.restore("昨天整理了视频，其中没有日期".encode("utf-8").decode("gb18030", "replace"))[1]
 
 
