@@ -88,8 +88,16 @@ def mix_sources(documents: DataFrame, targets: DataFrame, budget: int | None = N
     order = ["finish", "source", "pass_no", "doc_id"]
     if low is None:
         return line.orderBy(*order)
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # only the rows of the crossing slice
-    last = cut_rows.withColumn("upto", F.sum("tokens").over(upto)).where(F.col("upto") + F.lit(spent) <= F.lit(budget)).drop("upto")
+    # the rows of the crossing slice, however many share its finish times: sums of ranges first, then inside each range
+    ranged = cut_rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    ranged, _ = write_scratch(ranged, "mix-cut")
+    starts, total = [], spent
+    for row in sorted(ranged.groupBy("_range").agg(F.sum("tokens").alias("n")).collect()):  # one row a range
+        starts.append((row["_range"], total))
+        total += row.n
+    start = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = ranged.join(start, "_range").withColumn("upto", F.col("_start") + F.sum("tokens").over(inside)).where(F.col("upto") <= F.lit(budget)).select(*line.columns)
     return line.where(F.col("finish") < low).unionByName(last).orderBy(*order)
 
 

@@ -4,7 +4,9 @@ Centroids are a bounded sample of the vectors, linked in an in-memory graph.
 Every vector is stored in the lists of its nearest centroids as far as the ratio
 of distances allows, so vectors near a border lie in several lists, and it
 searches somewhat more lists than it is stored in. A list that grows beyond the
-balance is divided. Distances inside a list are exact.
+balance gets centroids of its own and is divided like the whole, level by level,
+so lists keep their size as the collection grows. Distances inside a list are
+exact.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashes import hex_to_long, long_to_hex, valid_hex
-from shelfmark.runtime import slots, write_scratch
+from shelfmark.runtime import drop_scratch, slots, write_scratch
 
 #: Vectors a centroid stands for, and the most centroids: the index is fitted on at most this many sampled vectors.
 PER_LIST, MAX_CENTROIDS = 96, 16_384
@@ -28,8 +30,12 @@ COPIES, SEARCHED = 8, 16
 RATIO, FLOOR = 1.35, 20
 #: Links of a centroid in the graph, centroids kept while searching it, rounds of expansion.
 LINKS, BEAM, ROUNDS = 24, 24, 3
-#: Vectors of one list that are compared in one task at once; longer lists are divided into parts.
+#: Stored vectors of a list above which it is divided by centroids of its own; what cannot be divided is compared in parts of this size.
 PART = 4096
+#: Levels of division at most; list numbers of all levels fit 63 bits.
+LEVELS = 4
+#: Centroids of one divided list, the lists inside it that hold a copy and that a vector searches, at most.
+INNER, INNER_COPIES, INNER_SEARCHED = 256, 4, 8
 
 
 def hamming_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,9 +106,47 @@ def _assign(keys: DataFrame, graph: CentroidGraph) -> DataFrame:
                 use[:, 1:] &= ids[:, 1:] != ids[:, :1]
                 use[:, 0] = True
                 row, col = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), pa.array(q[row].view(np.int64)), pa.array(col < COPIES)], names=["list", "key", "stored"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int64)), pa.array(q[row].view(np.int64)), pa.array(col < COPIES)], names=["list", "key", "stored"])
 
-    return keys.mapInArrow(run, "list int, key long, stored boolean")
+    return keys.mapInArrow(run, "list long, key long, stored boolean")
+
+
+def _divide(lists: DataFrame, long: list) -> DataFrame:
+    """``lists`` (list, key, stored) with the ``long`` ones (rows of list,
+    stored) divided by centroids of their own, a sample of at most about INNER
+    of the vectors that each stores. A vector goes on to the inner lists near
+    it, so one near a border again lies in several."""
+    spark = lists.sparkSession
+    sizes = spark.createDataFrame([(r.list, r.stored, min(INNER, -(-r.stored // PER_LIST))) for r in long], "list long, n long, m long")
+    marked = lists.join(F.broadcast(sizes), "list", "left")
+    chosen = marked.where(F.col("stored") & (F.pmod(F.xxhash64("key", "list"), F.col("n")) < F.col("m"))).groupBy("list").agg(F.collect_set("key").alias("c")).collect()  # a bounded sample: INNER a list, MAX_CENTROIDS * INNER on the first level
+    shared = spark.sparkContext.broadcast({r.list: np.array(sorted(r.c), np.int64).view(np.uint64) for r in chosen})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, key, stored = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.argsort(name, kind="stable")
+            name, key, stored = name[order], key[order].view(np.uint64), stored[order]
+            cuts = np.flatnonzero(name[1:] != name[:-1]) + 1
+            out = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(name)]) if len(name) else ():
+                c = shared.value.get(int(name[lo]))
+                for at in range(lo, hi, 2048):
+                    q, kept = key[at : min(at + 2048, hi)], stored[at : min(at + 2048, hi)]
+                    if c is None:
+                        out.append((name[at : at + len(q)], q, kept))
+                        continue
+                    d = hamming_matrix(q, c).astype(np.int64)
+                    near = np.sort(d << 32 | np.arange(len(c)), axis=1)[:, :INNER_SEARCHED]
+                    ids, d = near & 0xFFFFFFFF, near >> 32
+                    row, col = np.nonzero(d <= np.maximum(d[:, :1] * RATIO, FLOOR))
+                    out.append((name[lo] * (2 * INNER + 1) + 1 + ids[row, col], q[row], kept[row] & (col < INNER_COPIES)))
+            if out:
+                a, b, e = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.view(np.int64)), pa.array(e)], names=["list", "key", "stored"])
+
+    whole = marked.where("n is null").select((F.col("list") * (2 * INNER + 1)).alias("list"), "key", "stored")
+    return whole.unionByName(marked.where("n is not null").select("list", "key", "stored").mapInArrow(run, "list long, key long, stored boolean"))
 
 
 def _compare(q: np.ndarray, m: np.ndarray, radius: int, k: int) -> pd.DataFrame:
@@ -147,11 +191,21 @@ def nearest_keys(keys: DataFrame, k: int = 3, radius: int = 6) -> DataFrame:
     sample = keys.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(wanted).collect()  # at most MAX_CENTROIDS rows
     graph = CentroidGraph(np.array([r.key for r in sample], np.int64).view(np.uint64))
     parts = max(slots(spark) * 2, int(n // 100_000))
-    lists, _ = write_scratch(_assign(keys.repartition(parts), graph), "posting-lists")
-    sizes = lists.groupBy("list").agg(F.count_if("stored").alias("stored"), F.count("*").alias("all")).where(F.col("all") > PART).collect()  # one row a centroid at most
+    lists, lists_at = write_scratch(_assign(keys.repartition(parts), graph), "posting-lists")
+    size_of = lambda rows: rows.groupBy("list").agg(F.count_if("stored").alias("stored"), F.count("*").alias("all")).where(F.col("all") > PART).collect()  # noqa: E731 - long lists only
+    sizes, longest = size_of(lists), None
+    for _ in range(LEVELS):
+        deep = [r for r in sizes if r.stored > PART]
+        top = max((r.stored for r in deep), default=0)
+        if not deep or longest is not None and top > 0.8 * longest:
+            break  # balanced, or its vectors cannot be told apart
+        longest = top
+        divided, divided_at = write_scratch(_divide(lists, deep), "posting-lists")
+        drop_scratch(spark, lists_at)
+        lists, lists_at, sizes = divided, divided_at, size_of(divided)
     if sizes:
         # a long list becomes a grid of parts: stored copies by columns, searches by rows; a copy goes once to each row, a search once to each column
-        divided = spark.createDataFrame([(r.list, max(1, -(-r.stored // PART)), max(1, -(-r["all"] // PART))) for r in sizes], "list int, cols int, rows int")
+        divided = spark.createDataFrame([(r.list, max(1, -(-r.stored // PART)), max(1, -(-r["all"] // PART))) for r in sizes], "list long, cols int, rows int")
         lists = lists.join(F.broadcast(divided), "list", "left").select("list", "key", "stored", F.coalesce("cols", F.lit(1)).alias("cols"), F.coalesce("rows", F.lit(1)).alias("rows"))
         col, row = F.pmod(F.xxhash64("key", F.lit(1)), F.col("cols")).cast("int"), F.pmod(F.xxhash64("key", F.lit(2)), F.col("rows")).cast("int")
         seek = lists.select("list", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "key", F.lit(False).alias("stored"))

@@ -306,7 +306,21 @@ def test_neighbours_match_brute_force(spark, monkeypatch, part):
     rows = [file_row(i, phash=f"{k:016x}") for i, k in enumerate(keys)] + [file_row(9999, phash=f" {next(iter(keys)):016X}"), file_row(9998, phash="none"), file_row(9997)]
     got = {tuple(r) for r in neighbours.similar_hashes(spark.createDataFrame(rows, FILES)).collect()}
     want = brute_neighbours(sorted(keys))
-    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_long_lists_are_divided_and_keep_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_CENTROIDS", 4)  # lists of a thousand vectors, as if there were 400 times as many
+    monkeypatch.setattr(neighbours, "PART", 200)
+    rng = random.Random(8)
+    keys = {k ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5))) for k in (rng.getrandbits(64) for _ in range(900)) for _ in range(3)}
+    sizes = []
+    divide = neighbours._divide
+    monkeypatch.setattr(neighbours, "_divide", lambda lists, long: (sizes.append(len(long)), divide(lists, long))[1])
+    rows = [file_row(i, phash=f"{k:016x}") for i, k in enumerate(keys)]
+    got = {tuple(r) for r in neighbours.similar_hashes(spark.createDataFrame(rows, FILES)).collect()}
+    want = brute_neighbours(sorted(keys))
+    assert sizes and len(got & want) >= 0.95 * len(want), (sizes, len(got & want), len(want))
 
 
 def test_recall_on_the_table(spark):
@@ -386,6 +400,15 @@ def test_mix_follows_the_queues(spark, budget):
     assert set(report) == {"a_b", "c", "e"} and report["e"].tokens == 0 and sum(r.uses for r in report.values()) == len(want)
 
 
+def test_equal_finish_times_are_cut_by_the_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICES", 4)
+    docs = spark.createDataFrame([(s * 100 + i, "one two three", f"s{s}") for s in range(60) for i in range(3)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"s{s}", 1.0, 1) for s in range(60)], "source string, target_weight double, max_repeats int")
+    n = tokens.count_tokens(docs.limit(1), ["doc_id"]).first().tokens
+    got = [(r.finish, r.source) for r in mixing.mix_sources(docs, targets, n * 100).collect()]
+    assert got == sorted((float(n * k), f"s{s}") for k in (1, 2, 3) for s in range(60))[:100]
+
+
 def test_shares_meet_the_targets(spark):
     d = "/root/testdata/sf0.01"
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
