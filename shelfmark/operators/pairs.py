@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashes import hamming
-from shelfmark.runtime import number_rows, write_scratch
+from shelfmark.runtime import BROADCAST_ROWS, hot_join, hot_keys, number_rows, write_scratch
 
 #: A fingerprint held by so many files says nothing.
 JUNK = 8
+#: Distinct keys of one band code above which they are divided by the other bands.
+HOT_CODE = 4096
 
 
 def normalise_edges(edges: DataFrame, a: str = "file_id_a", b: str = "file_id_b") -> DataFrame:
@@ -29,18 +31,6 @@ def insert_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
     return normalise_edges(new).join(keys, ["file_id_a", "file_id_b"], "left_anti")
 
 
-def equal_key_pairs(rows: DataFrame, key: str, id_: str, limit: int | None = None) -> DataFrame:
-    """(a, b, key), a < b: all pairs with the same key. The pairs of one key grow
-    with the square of its rows, so ``limit`` leaves out keys held by that many
-    rows or more; use :func:`equal_key_groups` where the group is enough."""
-    keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(id_).alias("i"))
-    if limit:
-        often = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("k")
-        keyed = keyed.join(often, "k", "left_anti")
-    other = keyed.select("k", F.col("i").alias("j"))
-    return keyed.join(other, "k").where(F.col("i") < F.col("j")).select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias(key))
-
-
 def equal_key_groups(rows: DataFrame, key: str, id_: str) -> DataFrame:
     """(key, first_id, members): keys held by more than one row, without listing the rows."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_).alias("first_id"), F.count("*").alias("members")).where("members > 1")
@@ -85,10 +75,11 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, radius: in
 
     Without ``right`` each unordered pair of ``left`` comes once (key_a < key_b,
     signed); with it, pairs of a left and a right key, equal keys included. The
-    join is an equi-join on bands, so it scales out and needs no broadcast; a
-    pair is reported from the first band it meets in. Null keys match nothing.
+    join is an equi-join on bands, so it scales out; codes that many keys share
+    are divided further; a pair is reported from the first band it meets in. Null keys match nothing.
     Radius 0 gives no pairs without ``right``. Bounded to radius 23.
     """
+    right_side = right
     bands, reach = _bands(radius)
     a = left.where(F.col(key).isNotNull()).select(F.col(key).alias("key_a")).distinct()
     b = (left if right is None else right).where(F.col(key).isNotNull()).select(F.col(key).alias("key_b")).distinct()
@@ -102,27 +93,50 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, key: str, radius: in
         probes.append(a.select("key_a", F.lit(i).alias("band"), F.explode(F.transform(masks, lambda m: code.bitwiseXOR(m))).alias("code")))
     apart = lambda i: F.bit_count(_band(F.col("key_a").bitwiseXOR(F.col("key_b")), *bands[i]))
     first = reduce(lambda rest, i: F.when(apart(i) <= reach[i], F.lit(i)).otherwise(rest), [i for i in reversed(range(len(bands))) if reach[i] >= 0], F.lit(-1))
-    met = reduce(DataFrame.unionByName, probes).join(homes, ["band", "code"])
+    probes, on = reduce(DataFrame.unionByName, probes), ["band", "code"]
+    hot, _ = write_scratch(homes.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > HOT_CODE).select(*on), "hot-codes")
+    few = hot.limit(BROADCAST_ROWS + 1).count() if len(bands) > 1 else 0
+    if few:
+        # the keys of a hot code are divided by the other bands, over which a pair still differs in at most ``radius`` bits
+        side = F.broadcast(hot) if few <= BROADCAST_ROWS else hot
+        met = probes.join(side, on, "left_anti").join(homes.join(side, on, "left_anti"), on)
+        each, extra = divmod(radius + 1, len(bands) - 1)
+        hot_probes, hot_homes = probes.join(side, on, "left_semi"), homes.join(side, on, "left_semi")
+        for band in [i for i, r in enumerate(reach) if r >= 0]:
+            rest = [i for i in range(len(bands)) if i != band]
+            inner = [each + (i < extra) - 1 for i in range(len(rest))]
+            for at, (j, r) in enumerate(zip(rest, inner)):
+                if r < 0:
+                    continue
+                masks = F.array(*[F.lit(sum(1 << x for x in chosen)).cast("long") for k in range(r + 1) for chosen in combinations(range(bands[j][1]), k)])
+                left = hot_probes.where(F.col("band") == band).select(*on, "key_a", F.explode(F.transform(masks, lambda m: _band(F.col("key_a"), *bands[j]).bitwiseXOR(m))).alias("sub"))
+                right = hot_homes.where(F.col("band") == band).select(*on, "key_b", _band(F.col("key_b"), *bands[j]).alias("sub"))
+                inside = left.join(right, [*on, "sub"])
+                for i, s in list(zip(rest, inner))[:at]:  # reported from the first of the inner bands only
+                    if s >= 0:
+                        inside = inside.where(apart(i) > s)
+                met = met.unionByName(inside.select(*met.columns))
+    else:
+        met = probes.join(homes, on)
     distance = hamming(F.col("key_a"), F.col("key_b"))
     found = met.where((distance <= radius) & (F.col("band") == first))
-    if right is None:
+    if right_side is None:
         found = found.where(F.col("key_a") < F.col("key_b"))
     return found.select("key_a", "key_b", distance.alias("hamming"))
 
 
-def near_file_pairs(files: DataFrame, key: str, id_: str, radius: int, limit: int = JUNK) -> DataFrame:
-    """(file_id_a, file_id_b, hamming_distance), a < b: files with keys within
-    ``radius``; keys held by ``limit`` files or more are left out before pairs
-    are built, as they say nothing and their pairs grow with the square."""
-    keyed = files.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(id_).alias("i"))
-    often = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("k")
-    rare = keyed.join(often, "k", "left_anti")
-    same = equal_key_pairs(rare, "k", "i").select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"), F.lit(0).alias("hamming_distance"))
-    if radius == 0:
-        return same
-    keys = hamming_pairs(rare, None, "k", radius)
-    near = keys.join(rare.select(F.col("k").alias("key_a"), F.col("i").alias("x")), "key_a").join(rare.select(F.col("k").alias("key_b"), F.col("i").alias("y")), "key_b")
-    return same.unionByName(near.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"), F.col("hamming").alias("hamming_distance")))
+def near_classes(files: DataFrame, key: str, id_: str, radius: int) -> DataFrame:
+    """(file_id, class_id, members, links): one row a file with a key. Its class
+    are the files of the same key, named by the smallest id; ``members`` is
+    their number and ``links`` the number of other files within ``radius``, those
+    of the class included. Classes near one another are in :func:`near_links`."""
+    sizes, _ = write_scratch(files.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(id_).alias("class_id"), F.count("*").alias("members")), "classes")
+    near = hamming_pairs(sizes, None, "k", radius).select("key_a", "key_b")
+    both = near.unionByName(near.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    more = both.join(sizes.select(F.col("k").alias("key_b"), "members"), "key_b").groupBy(F.col("key_a").alias("k")).agg(F.sum("members").alias("_m"))
+    known, _ = write_scratch(sizes.join(more, "k", "left").select("k", "class_id", "members", (F.col("members") - 1 + F.coalesce("_m", F.lit(0))).alias("links")), "class-links")
+    rows = files.where(F.col(key).isNotNull()).select(F.col(id_).alias("file_id"), F.col(key).alias("k"))
+    return hot_join(rows, known, "k", hot=hot_keys(rows, "k")).select("file_id", "class_id", "members", "links")
 
 
 def near_links(files: DataFrame, key: str, id_: str, radius: int) -> DataFrame:

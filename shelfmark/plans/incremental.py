@@ -33,18 +33,6 @@ def within_batch(new: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select("file_id", "sha256").join(best, "sha256").where("file_id <> keeper").select("file_id", "keeper")
 
 
-def near_matches(new: DataFrame, library: DataFrame, radius: int = 8) -> DataFrame:
-    """(file_id_a, file_id_b, hamming_distance): new files against library files
-    by fingerprint, for review only; each pair once, a < b."""
-    key = lambda df: df.select("file_id", F.when(valid_hex(F.col("phash"), 16).isNotNull(), hex_to_long(valid_hex(F.col("phash"), 16))).alias("key")).where("key is not null")
-    a, b = key(new), key(library)
-    junk = pairs.junk_keys(a.unionByName(b), "key").select("key")
-    a, b = a.join(junk, "key", "left_anti"), b.join(junk, "key", "left_anti")
-    keys = pairs.hamming_pairs(a, b, "key", radius)
-    met = keys.join(a.select(F.col("key").alias("key_a"), F.col("file_id").alias("x")), "key_a").join(b.select(F.col("key").alias("key_b"), F.col("file_id").alias("y")), "key_b")
-    return met.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"), F.col("hamming").alias("hamming_distance"))
-
-
 def near_library_links(new: DataFrame, library: DataFrame, radius: int = 8) -> DataFrame:
     """(new_id, library_id, hamming_distance, kind): new files against library
     files by fingerprint, of all keys, however many files hold them. "near" links

@@ -90,10 +90,10 @@ def _(operations, files):
     return ledger.orphan_operations(operations, files).select("op_id", "file_id").distinct()
 
 
-@query("j04_exact_pairs", f"""with {HASHED}, rare as (select sha256, file_id from h where sha256 in (select sha256 from h group by 1 having count(*) between 2 and 7))
-select a.file_id as a, b.file_id as b, a.sha256 from rare a join rare b on a.sha256 = b.sha256 and a.file_id < b.file_id""")
+@query("j04_exact_links", f"""with {HASHED}, g as (select sha256, min(file_id) as first_id from h where sha256 is not null group by 1)
+select g.first_id as a, h.file_id as b from h join g using (sha256) where h.file_id <> g.first_id""")
 def _(files):
-    return pairs.equal_key_pairs(hashed(files), "sha256", "file_id", 8)
+    return pairs.star_edges(hashed(files), "sha256", "file_id")
 
 
 @query("a12_exact_groups", f"with {HASHED} select sha256, min(file_id) as first_id, count(*) as members from h where sha256 is not null group by 1 having count(*) > 1")
@@ -107,14 +107,12 @@ def _(files):
     return survivor.exact_star_edges(hashed(files))
 
 
-@query("j06_near_pairs", f"""with {HASHED}, k as (select file_id, ('0x' || phash)::ubigint as k from h where phash in (select phash from h group by 1 having count(*) < 8) and file_type in ('CAMERA_JPEG', 'DEV_JPEG', 'HEIC'))
-, ok as (select * from k where k in (select k from k group by 1 having count(*) < 8))
-select a.file_id as file_id_a, b.file_id as file_id_b, bit_count(xor(a.k, b.k))::int as hamming_distance from ok a join ok b on a.file_id < b.file_id and bit_count(xor(a.k, b.k)) <= {RADIUS}""")
+@query("j06_near_classes", f"""with {HASHED}, k as (select file_id, ('0x' || phash)::ubigint as k from h where phash is not null and file_type in ('CAMERA_JPEG', 'DEV_JPEG', 'HEIC')),
+g as (select k, min(file_id) as class_id, count(*) as members from k group by 1),
+near as (select a.k, sum(b.members) as m from g a join g b on a.k <> b.k and bit_count(xor(a.k, b.k)) <= {RADIUS} group by 1)
+select k.file_id, g.class_id, g.members, (g.members - 1 + coalesce(m, 0))::bigint as links from k join g using (k) left join near using (k)""")
 def _(files):
-    rows = hashed(files)
-    often = pairs.junk_keys(rows, "phash").select("phash")
-    rows = rows.join(often, "phash", "left_anti").where(F.col("file_type").isin("CAMERA_JPEG", "DEV_JPEG", "HEIC"))
-    return pairs.near_file_pairs(rows, "key", "file_id", RADIUS)
+    return pairs.near_classes(hashed(files).where(F.col("file_type").isin("CAMERA_JPEG", "DEV_JPEG", "HEIC")), "key", "file_id", RADIUS)
 
 
 @query("j06_near_links", f"""with {HASHED}, k as (select file_id, ('0x' || phash)::ubigint as k from h where phash is not null and file_type in ('CAMERA_JPEG', 'DEV_JPEG', 'HEIC')),
@@ -132,14 +130,6 @@ def _(duplicates):
     return pairs.normalise_edges(duplicates).withColumn("hamming_distance", F.coalesce("hamming_distance", F.lit(-1)))
 
 
-@query("k04_new_links", f"""with {HASHED}, rare as (select sha256, file_id from h where sha256 in (select sha256 from h group by 1 having count(*) between 2 and 7)),
-new as (select a.file_id as a, b.file_id as b from rare a join rare b on a.sha256 = b.sha256 and a.file_id < b.file_id)
-select a as file_id_a, b as file_id_b, 'EXACT' as dup_type, 0 as hamming_distance from new where not exists (select 1 from duplicates d where least(d.file_id_a, d.file_id_b) = a and greatest(d.file_id_a, d.file_id_b) = b)""")
-def _(files, duplicates):
-    found = pairs.equal_key_pairs(hashed(files), "sha256", "file_id", 8).select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"), F.lit("EXACT").alias("dup_type"), F.lit(0).alias("hamming_distance"))
-    return pairs.insert_edges(duplicates, found)
-
-
 @query("k04_new_star_links", f"""with {HASHED}, g as (select sha256, min(file_id) as f from h where sha256 is not null group by 1)
 select g.f as file_id_a, h.file_id as file_id_b, 'EXACT' as dup_type, 0 as hamming_distance from h join g using (sha256) where h.file_id <> g.f
 and not exists (select 1 from duplicates d where d.dup_type = 'EXACT' and least(d.file_id_a, d.file_id_b) = g.f and greatest(d.file_id_a, d.file_id_b) = h.file_id)""")
@@ -448,16 +438,6 @@ def _(files):
     return events.organize_candidates(files)
 
 
-@query("j07_near_new_vs_library", f"""with {HASHED}, j as (select phash from h where status <> 'error' and phash is not null group by 1 having count(*) >= 8),
-k as (select file_id, status, ('0x' || phash)::ubigint as k from h where phash is not null and phash not in (select phash from j)),
-new as (select k.* from k where status not in ('done', 'error') and file_id not in (select file_id from operations where status = 'done'))
-select least(n.file_id, o.file_id) as file_id_a, greatest(n.file_id, o.file_id) as file_id_b, bit_count(xor(n.k, o.k))::int as hamming_distance from new n join k o on o.status = 'done' and bit_count(xor(n.k, o.k)) <= 4""")
-def _(files, operations):
-    often = pairs.junk_keys(hashed(files).where("status <> 'error'"), "phash").select("phash")
-    rows = hashed(files).join(often, "phash", "left_anti")
-    return incremental.near_matches(incremental.new_files(rows, operations), rows.where("status = 'done'"), 4)
-
-
 @query("j07_near_library_links", f"""with {HASHED}, k as (select file_id, status, ('0x' || phash)::ubigint as k from h where phash is not null),
 n as (select k, file_id, min(file_id) over (partition by k) as f from k where status not in ('done', 'error') and file_id not in (select file_id from operations where status = 'done')),
 o as (select k, file_id, min(file_id) over (partition by k) as f from k where status = 'done'),

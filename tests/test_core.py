@@ -114,8 +114,10 @@ def test_hash_round_trip(spark):
     assert values(spark, valid[:3], lambda c: long_to_hex(hex_to_long(c))) == valid[:3]
 
 
+@pytest.mark.parametrize("hot", [4096, 2])
 @pytest.mark.parametrize("radius", [0, 1, 2, 4, 6, 8])
-def test_hamming_pairs_match_brute_force(spark, radius):
+def test_hamming_pairs_match_brute_force(spark, monkeypatch, radius, hot):
+    monkeypatch.setattr(pairs, "HOT_CODE", hot)
     rng = random.Random(radius)
     keys = [0, 1, 3, 0xF, 0xFF, 1 << 63, 2**64 - 1, 2**64 - 2] + [(i * 0x9E3779B97F4A7C15) % 2**64 for i in range(60)]
     keys += [k ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 10))) for k in keys for _ in range(2)]
