@@ -139,7 +139,9 @@ class CellIndex:
         The sizes of the cells are kept with the index (their number is bounded
         by the blocks). The probes of a small batch are broadcast, so the cells
         are neither moved nor, where no probe names them, read; a large batch,
-        whose probes outnumber the bound, is joined by shuffle.
+        whose probes outnumber the bound, is joined by shuffle. Its joins are
+        named, as the planner takes a table of probes to be no larger than the
+        keys that it is made of and would broadcast it.
         """
         radius = self.radius if radius is None else radius
         reach = [r if i in self.blocks else -1 for i, r in enumerate(reaches(radius))]
@@ -159,7 +161,7 @@ class CellIndex:
             # a hot cell holds more than HOT_CELL of the vectors, so there are few; beyond the bound they are joined by shuffle
             side = F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot
             calm_probes, calm = probes.join(side, "cell", "left_anti"), cells.join(side, "cell", "left_anti")
-        met = calm.join(F.broadcast(calm_probes), "cell") if small else calm_probes.join(calm.select("cell", "key"), "cell")
+        met = calm.join(F.broadcast(calm_probes), "cell") if small else calm_probes.hint("merge").join(calm.select("cell", "key"), "cell")
         found = self._verified(met, reach, radius)
         if some_hot:
             found = found.unionByName(self._inside_hot(probes.join(side, "cell", "left_semi"), cells.join(side, "cell", "left_semi"), reach, radius))
@@ -173,7 +175,8 @@ class CellIndex:
 
     def _inside_hot(self, probes: DataFrame, cells: DataFrame, reach: list[int], radius: int) -> DataFrame:
         """Hot cells are divided by the other blocks, again with exact reaches:
-        the pair still differs in at most ``radius`` bits over those blocks."""
+        the pair still differs in at most ``radius`` bits over those blocks.
+        Probes are many times the keys here, so they are always shuffled."""
         inner = reaches(radius, BLOCKS - 1)
         out = []
         for block in [i for i, r in enumerate(reach) if r >= 0]:
@@ -185,7 +188,7 @@ class CellIndex:
                 left = probes.where(mine).select("cell", "q", F.explode(_around(F.col("q"), i, r, cell=False)).alias("sub"))
                 right = cells.where(mine).select("cell", "key", _block(F.col("key"), i).alias("sub"))
                 earlier = [(j, s) for j, s in zip(rest, inner) if j < i and s >= 0]
-                met = left.join(right, ["cell", "sub"])
+                met = left.hint("merge").join(right, ["cell", "sub"])
                 for j, s in earlier:  # reported from the first of the inner blocks only
                     met = met.where(F.bit_count(_block(F.col("q").bitwiseXOR(F.col("key")), j)) > s)
                 out.append(self._verified(met, reach, radius))

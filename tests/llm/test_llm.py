@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -255,6 +256,22 @@ def test_small_batches_read_their_cells_only(spark, tmp_path):
     assert read[2] <= 2 * read[0] + 2000 and read[3] < 4 * 64_000 / 3, read
 
 
+def test_probes_of_a_large_batch_are_not_broadcast(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cells, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(cells, "HOT_CELL", 2)
+    rng = random.Random(23)
+    old = [(i, rng.getrandbits(62), None) for i in range(60)]
+    new = [(1000 + i, key ^ 1 << rng.randrange(62), None) for i, key, _ in old]
+    old += [(2000 + i, 7 | i << 20, None) for i in range(40)]  # hot cells
+    index = cells.CellIndex(spark, str(tmp_path / "x"))
+    index.append(spark.createDataFrame(old, "id long, key long, value string"), "0")
+    near = index.near_keys(spark.createDataFrame(new, "id long, key long, value string"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # the planner takes the probes to be as small as their keys
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*\], \[[^\]]*\], Inner", plan) and "SortMergeJoin" in plan
+    assert {tuple(r)[:2] for r in near.collect()} == {(a, b) for _, a, _ in new for _, b, _ in old if (a ^ b).bit_count() <= 6}
+
+
 @pytest.mark.parametrize("hot,bound", [(4096, 100_000), (3, 0)])
 def test_nearest_matches_brute_force(spark, monkeypatch, hot, bound):
     monkeypatch.setattr(cells, "HOT_CELL", hot)
